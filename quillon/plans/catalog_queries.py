@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import names as N
+from quillon.functions.paths import contained, relative
 from quillon.operators import catalog as C
+from quillon.operators.collisions import resolve
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -161,3 +163,16 @@ def running_progress(spark, sf_dir):
     w = Window.partitionBy("user_id")
     share = F.lit(100.0) * F.row_number().over(w.orderBy("event_id")) / F.count(F.lit(1)).over(w)
     return _t(spark, sf_dir, "events").select("user_id", "event_id", share.alias("percentage"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS seq, lower(o_orderpriority) || '.mp3' AS name FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq) - 1 AS k FROM o)
+SELECT seq, name, CASE WHEN k = 0 THEN name ELSE regexp_replace(name, '\\.mp3$', '') || '_' || CASE WHEN k < 1000 THEN printf('%03d', k) ELSE k::VARCHAR END || '.mp3' END AS resolved FROM r""")
+def collision_names(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lower("o_orderpriority"), F.lit(".mp3")).alias("name"))
+    return resolve(rows)
+
+
+@query("SELECT page_id, NOT starts_with(regexp_extract(url, '://[^/]*(.*)$', 1), '/') AS contained, CASE WHEN starts_with(url, 'https:/') THEN substr(url, 8) ELSE url END AS rel FROM pages")
+def path_containment(spark, sf_dir):
+    path = F.regexp_extract("url", r"://[^/]*(.*)$", 1)
+    return _t(spark, sf_dir, "pages").select("page_id", contained("mnt/usb", path).alias("contained"), relative(F.col("url"), "https:/").alias("rel"))
