@@ -4,15 +4,21 @@ Documents are cut into pieces no longer than a sequence, the first being the sho
 bounded size by a hash of their own row; in each block best-fit decreasing makes bins and a local search moves one
 piece, swaps one for one or two for one between underfull bins whenever that raises the sum of squared fills, until
 bins empty. Repeated rows are packed once each; a null or empty text is the end id alone.
+
+Ids are those of the tokenizers file. Where that file is a plain byte-level BPE whose merges stand in id order, the
+same vocabulary is applied by tiktoken, which takes a quarter of the time; texts that hold an added token, or a run
+too long for its quadratic merge, and all other files go to tokenizers itself.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +30,9 @@ from .common import cut
 LENGTH = 2048
 BLOCK_PIECES = 50_000
 ROUNDS = 20
+#: Fixed value: the split pattern of byte-level BPE files.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_LONG_RUN = re.compile(r"\S{1000}|\s{1000}")
 
 
 def best_fit(sizes: list[int], room: int) -> list[list[int]]:
@@ -126,27 +135,59 @@ def _trade(live, fill, sizes, a: int, b: int, out: list[int], back: list[int]) -
     fill[b] += moved
 
 
+def _byte_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Ranks of a plain byte-level BPE, or None where ranks would not say the same as the merges."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex"):
+        return None
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")):
+        return None
+    merged = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    if merged != list(range(256, 256 + len(merged))) or len(model["vocab"]) != 256 + len(merged):
+        return None
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # bytes that stand for themselves
+    byte_of = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    return {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items()}
+
+
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Text to ids, equal to the tokenizers file without special tokens added."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ranks = _byte_ranks(spec)
+    if ranks is None:
+        return lambda text: tok.encode(text, add_special_tokens=False).ids
+    fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    added = [t["content"] for t in spec.get("added_tokens", [])]
+
+    def ids(text: str) -> list[int]:
+        if any(a in text for a in added) or _LONG_RUN.search(text):
+            return tok.encode(text, add_special_tokens=False).ids
+        return fast.encode_ordinary(text)
+
+    return ids
+
+
 def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 0, length: int = LENGTH) -> DataFrame:
     """One row per piece: key, row (a number of the document's own row), piece, start, length, ids_crc32."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(path)
+        encode = encoder(path)
         for batch in batches:
             rows = []
-            for at in range(0, len(batch), 64):
-                part = batch.iloc[at : at + 64]
-                texts = [t or "" for t in part["_text"]]
-                for k, n, enc in zip(part["_key"], part["_row"], tok.encode_batch_fast(texts, add_special_tokens=False)):
-                    ids = np.array([*enc.ids, end_id], dtype="<u4")
-                    first = len(ids) % length or length
-                    start = 0
-                    for piece, stop in enumerate(range(first, len(ids) + 1, length)):
-                        rows.append((k, n, piece, start, stop - start, zlib.crc32(ids[start:stop].tobytes())))
-                        start = stop
+            for k, n, t in zip(batch["_key"], batch["_row"], batch["_text"]):
+                ids = np.array([*encode(t or ""), end_id], dtype="<u4")
+                first = len(ids) % length or length
+                start = 0
+                for piece, stop in enumerate(range(first, len(ids) + 1, length)):
+                    rows.append((k, n, piece, start, stop - start, zlib.crc32(ids[start:stop].tobytes())))
+                    start = stop
             yield pd.DataFrame(rows, columns=[key, "row", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
