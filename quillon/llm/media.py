@@ -1,7 +1,9 @@
 """Media columns: payloads as 8-bit mono PCM in WAV form, cut by content, deduplicated and rebuilt.
 
-Gear-hash cuts make chunks; equal chunks (by SHA-256) are stored once, compressed; ordered chunk lists rebuild each
-distinct medium, whose digest is verified. Null and empty texts give 64 zero bytes. Equal texts share one medium.
+Gear-hash cuts make chunks. Joins on chunk digests alone (a small table) name one owner for each distinct chunk; each
+distinct medium travels once, as a compressed container, and gives the chunks it owns to the media that share them.
+Ordered chunk lists rebuild every medium from owned and given chunks, and its digest is verified. Null and empty texts
+give 64 zero bytes. Equal texts share one medium; hot chunks and media are given in several copies, dealt over salts.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted
+from .common import cut, join_counted
 
 BLOCK = 64
 MIN_CHUNK, MAX_CHUNK, MASK_BITS = 512, 16_384, 11
 RATE = 8000
+SHARE = 128  # takers of one copy of a chunk or of a medium's facts
 _GEAR = np.frombuffer(hashlib.shake_256(b"gear").digest(256 * 4), dtype="<u4").copy()
 
 
@@ -80,78 +83,115 @@ def features(payload: bytes) -> str:
     })
 
 
-def chunked(docs: DataFrame, text: str = "text", with_data: bool = False) -> DataFrame:
-    """One row per chunk of each row's medium: media_id, seq, digest and, on request, the compressed bytes."""
+def chunk_lists(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row: key, n_bytes, media_id and the ordered digests of its medium's chunks."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for k, t in zip(batch["_key"], batch["_text"]):
+                payload, n = payload_of(t)
+                media = to_wav(payload)
+                ends = cuts(media)
+                digests = [hashlib.sha256(media[a:b]).digest() for a, b in zip([0, *ends], ends)]
+                rows.append((k, n, hashlib.sha256(media).digest(), digests))
+            yield pd.DataFrame(rows, columns=[key, "n_bytes", "media_id", "digests"])
+
+    rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    return rows.mapInPandas(run, f"{key} {kind}, n_bytes long, media_id binary, digests array<binary>")
+
+
+def containers(docs: DataFrame, text: str = "text") -> DataFrame:
+    """One row per distinct medium: media_id, the ends of its chunks (32-bit) and its compressed bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             rows = []
-            for value in batch["_text"]:
-                media = to_wav(payload_of(value)[0])
-                media_id, start = hashlib.sha256(media).digest(), 0
-                for seq, end in enumerate(cuts(media)):
-                    part = media[start:end]
-                    rows.append((media_id, seq, hashlib.sha256(part).digest(), *([pack.compress(part)] if with_data else [])))
-                    start = end
-                if len(rows) > 4000:
-                    yield pd.DataFrame(rows, columns=cols)
-                    rows = []
-            yield pd.DataFrame(rows, columns=cols)
-
-    cols = ["media_id", "seq", "digest", *(["data"] if with_data else [])]
-    return docs.select(F.col(text).alias("_text")).mapInPandas(run, "media_id binary, seq int, digest binary" + (", data binary" if with_data else ""))
-
-
-def rebuilt(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One verified row per distinct medium: media_id and media."""
-    store = chunked(docs, text, with_data=True).groupBy("digest").agg(F.first("data").alias("data"))
-    lists = chunked(docs, text).groupBy("media_id", "seq").agg(F.first("digest").alias("digest"))
-    used = lists.groupBy("digest").agg(F.count(F.lit(1)).alias("_refs"))
-    heavy_total = used.agg(F.sum("_refs"), F.max("_refs")).first()
-    if heavy_total[1] and heavy_total[1] > max(heavy_total[0] / 1000, 8):
-        joined = join_counted(lists, store.join(used, "digest"), "digest", "_refs")
-    else:
-        joined = lists.join(store, "digest")
-    parts = joined.groupBy("media_id").agg(F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("parts"))
-
-    @F.pandas_udf("binary")
-    def assemble(media_id: pd.Series, parts: pd.Series) -> pd.Series:
-        unpack = zstandard.ZstdDecompressor()
-        out = []
-        for want, rows in zip(media_id, parts):
-            media = b"".join(unpack.decompress(r["data"]) for r in rows)
-            if hashlib.sha256(media).digest() != bytes(want):
-                raise ValueError("rebuilt medium differs from its digest")
-            out.append(media)
-        return pd.Series(out)
-
-    return parts.select("media_id", assemble("media_id", "parts").alias("media"))
+            for t in batch["_text"]:
+                media = to_wav(payload_of(t)[0])
+                rows.append((hashlib.sha256(media).digest(), np.array(cuts(media), dtype="<u4").tobytes(), pack.compress(media)))
+            yield pd.DataFrame(rows, columns=["media_id", "ends", "pack"])
 
+    rows = docs.select(F.col(text).alias("_text")).mapInPandas(run, "media_id binary, ends binary, pack binary")
+    rows = rows.where("media_id IS NOT NULL").groupBy("media_id").agg(F.first(F.struct("ends", "pack")).alias("held"))
+    return rows.select("media_id", "held")
 
-def media_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Digests and features of each row's medium, read back from the rebuilt bytes."""
-    kind = docs.schema[key].dataType.simpleString()
 
-    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def owners(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(own, foreign) of distinct media's lists, for digests with more than one place.
+
+    own: digest, its owner's media_id and seq, copies to give. foreign: media_id, seq, digest, copies: the other places.
+    """
+    refs = lists.groupBy("media_id").agg(F.first("digests").alias("digests")).select("media_id", F.posexplode("digests").alias("seq", "digest"))
+    own = refs.groupBy("digest").agg(F.min(F.struct("media_id", "seq")).alias("_own"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    own = cut(own.withColumn("copies", F.ceil(F.col("_n") / SHARE).cast("int")))
+    foreign = join_counted(refs, own, "digest", "_n").where("media_id <> _own.media_id OR seq <> _own.seq")
+    return own.select("digest", "_own.*", "copies"), cut(foreign.select("media_id", "seq", "digest", "copies"))
+
+
+def _slices(held: dict) -> list[bytes]:
+    media = zstandard.ZstdDecompressor().decompress(held["pack"])
+    ends = np.frombuffer(held["ends"], dtype="<u4").tolist()
+    return [media[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def rebuilt(docs: DataFrame, lists: DataFrame, text: str = "text") -> DataFrame:
+    """One row per distinct medium: media_id, held (its container), missing (seqs it does not own), given (chunks)."""
+    own, foreign = owners(lists)
+    giving = own.groupBy("media_id").agg(F.collect_list(F.struct("seq", "digest", "copies")).alias("giving"))
+    missing = foreign.groupBy("media_id").agg(F.collect_list("seq").alias("missing"))
+    held = containers(docs, text)
+
+    def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(n, hashlib.sha256(to_wav(p)).digest()) for p, n in map(payload_of, batch["_text"])]
-            yield pd.DataFrame({key: batch["_key"], "n_bytes": [r[0] for r in rows], "media_id": [r[1] for r in rows]})
+            pack, rows = zstandard.ZstdCompressor(level=3), []
+            for h, wanted in zip(batch["held"], batch["giving"]):
+                parts = _slices(h)
+                for w in wanted:
+                    data = pack.compress(parts[w["seq"]])
+                    rows += [(w["digest"], salt, data) for salt in range(w["copies"])]
+            yield pd.DataFrame(rows, columns=["digest", "salt", "data"])
+
+    gifts = held.join(giving, "media_id").select("held", "giving").mapInPandas(give, "digest binary, salt int, data binary")
+    takers = foreign.withColumn("salt", F.pmod(F.xxhash64("media_id", "seq"), F.col("copies")).cast("int")).drop("copies")
+    given = takers.join(gifts, ["digest", "salt"]).groupBy("media_id").agg(F.collect_list(F.struct("seq", "data")).alias("given"))
+    return held.join(missing, "media_id", "left").join(given, "media_id", "left")
+
+
+def assembled(media_id: bytes, held: dict, missing, given) -> bytes:
+    """The medium from the chunks it owns and those given; verified by its digest."""
+    parts: list = _slices(held)
+    for seq in missing if missing is not None else ():
+        parts[seq] = None
+    unpack = zstandard.ZstdDecompressor()
+    for g in given if given is not None else ():
+        parts[g["seq"]] = unpack.decompress(g["data"])
+    media = b"".join(parts)
+    if hashlib.sha256(media).digest() != bytes(media_id):
+        raise ValueError("rebuilt medium differs from its digest")
+    return media
+
+
+def media_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Digests and features of each row's medium, read back from the rebuilt bytes."""
+    lists = cut(chunk_lists(docs, key, text))
+    counts = lists.groupBy("media_id").agg(F.count(F.lit(1)).alias("_n"))
+    counts = cut(counts.withColumn("copies", F.ceil(F.col("_n") / SHARE).cast("int")))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for media_id, media in zip(batch["media_id"], batch["media"]):
+            for media_id, held, missing, given, copies in zip(batch["media_id"], batch["held"], batch["missing"], batch["given"], batch["copies"]):
+                media = assembled(media_id, held, missing, given)
                 got = from_wav(media)
-                rows.append((media_id, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), features(got)))
-            yield pd.DataFrame(rows, columns=["media_id", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    named = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(name, f"{key} {kind}, n_bytes long, media_id binary")
-    facts = rebuilt(docs, text).mapInPandas(read, "media_id binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-    counts = named.groupBy("media_id").agg(F.count(F.lit(1)).alias("_n"))
-    top = counts.agg(F.max("_n"), F.sum("_n")).first()
-    if top[0] and top[0] > max(top[1] / 1000, 8):
-        out = join_counted(named, facts.join(counts, "media_id"), "media_id", "_n")
-    else:
-        out = named.join(facts, "media_id")
-    return out.select(key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+                fact = (len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), features(got))
+                rows += [(media_id, salt, *fact) for salt in range(copies)]
+            yield pd.DataFrame(rows, columns=["media_id", "salt", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+    media = rebuilt(docs, lists, text).join(counts.select("media_id", "copies"), "media_id")
+    facts = media.mapInPandas(read, "media_id binary, salt int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    rows = join_counted(lists.select(key, "n_bytes", "media_id"), counts, "media_id", "_n")
+    rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.col("copies")).cast("int"))
+    return rows.join(facts, ["media_id", "salt"]).select(key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
