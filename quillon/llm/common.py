@@ -25,7 +25,9 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    sc._jvm.java.lang.System.gc()  # lets the cleaner drop shuffle files that the checkpoint has replaced
+    return out
 
 
 def join_counted(big: DataFrame, small: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:

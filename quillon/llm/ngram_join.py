@@ -10,41 +10,73 @@ Null, empty and wordless texts have no shingles and link with nothing.
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, join_counted
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SKETCH = 1 << 18
-
-
-def shingles(text: str | None, n: int = 4, memo: dict | None = None) -> np.ndarray:
+BLOCK = 1 << 20  # bytes of text whose words are hashed at once
+MEMBERS = 128  # sets verified against one copy of a leader
+_GAP = np.zeros(256, dtype=bool)
+_GAP[[0x20, *range(0x09, 0x0E)]] = True
+_BYTE = np.frombuffer(hashlib.shake_256(b"words").digest(256 * 8), dtype="<u8").copy()
+_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+_ODD = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of _ODD and of its inverse modulo 2**64, n at least."""
+    if len(_powers[0]) < n:
+        n = 2 * n
+        for k, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
+            row = np.full(n, base, dtype=np.uint64)
+            row[0] = 1
+            _powers[k] = np.cumprod(row)
+    return _powers
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit polynomial hashes of the folded words, from prefix sums over the bytes."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    out, at = [], 0
+    while at < len(raw):
+        stop = at + BLOCK
+        while stop < len(raw) and not _GAP[raw[stop]]:
+            stop += 1
+        part = raw[at:stop]
+        edge = np.flatnonzero(np.diff(~_GAP[part], prepend=False, append=False))
+        first, end = edge[::2], edge[1::2]
+        up, down = _power(len(part) + 1)
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
+        out.append(_mixed((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64)))
+        at = stop
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+
+
+def shingles(text: str | None, n: int = 4) -> np.ndarray:
     """Sorted distinct 64-bit names of n-word shingles; fewer words make one shingle."""
-    words = _WORD.findall((text or "").translate(_LOWER))
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    memo = {} if memo is None else memo
-    if len(memo) > 500_000:
-        memo.clear()
-    for w in set(words):
-        if w not in memo:
-            memo[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-    h = np.fromiter((memo[w] for w in words), dtype=np.uint64, count=len(words))
-    k = min(n, len(words))
-    out = np.full(len(words) - k + 1, k, dtype=np.uint64)
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    k = min(n, len(h))
+    out = np.full(len(h) - k + 1, k, dtype=np.uint64)
     for i in range(k):
-        out = (out ^ h[i : len(words) - k + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
-        out ^= out >> np.uint64(32)
+        out = _mixed((out ^ h[i : len(h) - k + 1 + i]) * np.uint64(_ODD))
     return np.unique(out)
 
 
@@ -57,23 +89,26 @@ def _sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict = {}
         for batch in batches:
-            sets = [shingles(t, n, memo) for t in batch["_text"]]
-            yield pd.DataFrame({key: batch["_key"], "n_shingles": [len(s) for s in sets], "sig": [xxhash.xxh128_hexdigest(s.tobytes()) if len(s) else None for s in sets]})
+            sets = [shingles(t, n) for t in batch["_text"]]
+            yield pd.DataFrame({key: batch["_key"], "n_shingles": [len(s) for s in sets], "sig": [_sig(s) for s in sets]})
+
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(run, f"{key} {kind}, n_shingles long, sig binary")
 
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(run, f"{key} {kind}, n_shingles long, sig string")
+
+def _sig(s: np.ndarray) -> bytes | None:
+    return xxhash.xxh128_digest(s.tobytes()) if len(s) else None
 
 
 def _sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """Documents per bucket of shingles, over all documents; SKETCH numbers, whatever the input."""
+    """Rows per bucket of shingles, over all rows; SKETCH numbers, whatever the input."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, memo = np.zeros(SKETCH, dtype=np.int64), {}
+        total = np.zeros(SKETCH, dtype=np.int64)
         for batch in batches:
             for t in batch["_text"]:
                 if t:
-                    np.add.at(total, (shingles(t, n, memo) % np.uint64(SKETCH)).astype(np.int64), 1)
+                    np.add.at(total, (shingles(t, n) % np.uint64(SKETCH)).astype(np.int64), 1)
         for b in range(64):
             yield pd.DataFrame({"b": [b], "c": [total[b * (SKETCH // 64) : (b + 1) * (SKETCH // 64)].tobytes()]})
 
@@ -90,49 +125,53 @@ def _sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
     return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
-def _short_lists(texts: DataFrame, sketch, n: int, percent: int) -> DataFrame:
-    """(token, id, size) for the rarest size - T + 1 shingles of each set, T the least overlap with any partner."""
+def _short_lists(docs: DataFrame, key: str, text: str, sketch, n: int, percent: int) -> DataFrame:
+    """One row per distinct set: sig, id, _n rows, size and tokens, its rarest size - T + 1 shingles, T the least overlap with any partner."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict = {}
         for batch in batches:
-            tokens, ids, sizes = [], [], []
-            for i, t in zip(batch["id"], batch["text"]):
-                s = shingles(t, n, memo)
-                k = len(s) - -(-percent * len(s) // 100) + 1
-                rare = s[np.lexsort((s, sketch.value[(s % np.uint64(SKETCH)).astype(np.int64)]))[:k]]
-                tokens.append(rare.view(np.int64))
-                ids.append(np.full(len(rare), i, dtype=np.int64))
-                sizes.append(np.full(len(rare), len(s), dtype=np.int64))
-            if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens), "id": np.concatenate(ids), "size": np.concatenate(sizes)})
-
-    return texts.mapInPandas(run, "token long, id long, size long")
-
-
-def _verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (x, y) that link. Each side's text comes by its id; ids with many pairs are dealt by broadcast."""
+            rows = []
+            for i, t in zip(batch["id"], batch["_text"]):
+                s = shingles(t, n)
+                if len(s):
+                    k = len(s) - -(-percent * len(s) // 100) + 1
+                    rare = s[np.lexsort((s, sketch.value[(s % np.uint64(SKETCH)).astype(np.int64)]))[:k]]
+                    rows.append((i, _sig(s), len(s), rare.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["id", "sig", "size", "tokens"])
+
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).mapInPandas(run, "id long, sig binary, size long, tokens array<long>")
+    return rows.groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("_n"), F.first(F.struct("size", "tokens")).alias("_s")).select("sig", "id", "_n", "_s.*")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
+    """Pairs (x, y) that link. Texts travel compressed, to groups of one x and at most about MEMBERS partners."""
+    counts = cut(pairs.groupBy("x").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / MEMBERS)))
+    dealt = join_counted(pairs, counts, "x", "_n").withColumn("part", F.pmod(F.xxhash64("y"), F.col("_parts")))
+    asked = cut(dealt.select("x", "part", F.col("y").alias("id")).unionByName(dealt.select("x", "part", F.col("x").alias("id")).distinct()))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "pack": [press.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch["_text"]]})
 
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        count = rows.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
-        own = texts.select(F.col("id").alias(name), F.col("text").alias(f"t{name}"))
-        return join_counted(rows, own.join(count, name), name, "_n")
+    packs = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("_text")).mapInPandas(pack, "id long, pack binary")
+    packs = packs.groupBy("id").agg(F.max("pack").alias("pack"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict = {}
-        for batch in batches:
-            hit = []
-            last_x, sx = None, None
-            for x, tx, ty in zip(batch["x"], batch["tx"], batch["ty"]):
-                if x != last_x:
-                    last_x, sx = x, shingles(tx, n, memo)
-                sy = shingles(ty, n, memo)
-                small, large = (sx, sy) if len(sx) <= len(sy) else (sy, sx)
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                hit.append(int((large[at] == small).sum()) >= needed(len(sx), len(sy), percent))
-            yield batch.loc[hit, ["x", "y"]]
+    def check(frame: pd.DataFrame) -> pd.DataFrame:
+        unpack = zstandard.ZstdDecompressor()
+        x = frame["x"].iloc[0]
+        sets = {i: shingles(unpack.decompress(p).decode("utf-8", "surrogatepass"), n) for i, p in zip(frame["id"], frame["pack"])}
+        own, hit = sets.pop(x), []
+        for y, other in sets.items():
+            small, large = (own, other) if len(own) <= len(other) else (other, own)
+            if not len(small):
+                continue
+            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+            if int((large[at] == small).sum()) >= needed(len(own), len(other), percent):
+                hit.append(y)
+        return pd.DataFrame({"x": [x] * len(hit), "y": hit}, dtype="int64")
 
-    return side(side(pairs, "x"), "y").select("x", "y", "tx", "ty").mapInPandas(run, "x long, y long")
+    return asked.join(packs, "id").groupBy("x", "part").applyInPandas(check, "x long, y long")
 
 
 def components(links: DataFrame, ids: DataFrame) -> DataFrame:
@@ -164,21 +203,17 @@ def components(links: DataFrame, ids: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """key, n_shingles, component_id for every row."""
     sets = cut(_sets(docs, key, text, n))
-    classes = cut(sets.where("sig IS NOT NULL").groupBy("sig").agg(F.min(key).alias("id"), F.count(F.lit(1)).alias("_n")))
-    reps = classes.select(F.col("id").alias(key)).where(F.col(key).isNotNull())
-    whole = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).join(reps, key, "left_semi")
-    texts = whole.dropDuplicates([key]).select(F.col(key).alias("id"), "text")
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(texts, "text", n))
-    lists = _short_lists(texts, sketch, n, percent)
-    counts = lists.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("lead")).where("_n > 1")
-    counts = cut(counts)
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, text, n))
+    classes = cut(_short_lists(docs, key, text, sketch, n, percent))
+    ids = classes.where("id IS NOT NULL").select("id").distinct()
+    lists = classes.where("id IS NOT NULL").select(F.explode("tokens").alias("token"), "id", "size")
+    counts = cut(lists.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("lead")).where("_n > 1"))
     lists = cut(join_counted(lists, counts, "token", "_n"))
 
     # 1: each set against the leader of each of its lists, most shared lists first
     stars = lists.where("id <> lead").groupBy(F.col("id").alias("y"), F.col("lead").alias("x")).agg(F.count(F.lit(1)).alias("m"))
     stars = stars.groupBy("y").agg(F.max_by("x", F.struct("m", -F.col("x"))).alias("x")).select("x", "y")
-    links = cut(_verify(stars, texts, n, percent))
-    ids = texts.select("id")
+    links = cut(_verify(stars, docs, key, text, n, percent))
     at = components(links, ids)
 
     # 2: lists that still hold several components, pair by pair across components
@@ -190,7 +225,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     fits = (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy"))
     pairs = cut(x.join(y, "token").where(fits).select("x", "y").distinct())
     if not pairs.isEmpty():
-        more = cut(_verify(pairs, texts, n, percent))
+        more = cut(_verify(pairs, docs, key, text, n, percent))
         at = components(links.unionByName(more), ids)
 
     named = classes.join(at, "id").select("sig", "comp", "_n")
