@@ -151,3 +151,18 @@ def test_packing(spark, odd, empty):
     sizes = [6, 6, 5, 5, 4, 4]
     assert len(packing.local_search(packing.best_fit(sizes, 10), sizes, 10)) == 3
     assert len(packing.local_search([[0], [1], [2], [3], [4], [5]], sizes, 10)) <= 4
+
+
+def test_encoder_equals_tokenizers():
+    from tokenizers import Tokenizer
+
+    path = str(__import__("public_tokenizers").path("byte_bpe_50k.json"))
+    encode, tok = packing.encoder(path), Tokenizer.from_file(path)
+    for s in ("", "a<|endoftext|>b", "x" * 5000, " " * 5000 + "q", "don't  Ünï 日本\r\n\t é 12345"):
+        assert list(encode(s)) == tok.encode(s, add_special_tokens=False).ids
+
+
+def test_shingles_fold_and_split_ascii_only():
+    assert (ngram_join.shingles("One TWO\tthree\x0bfour five") == ngram_join.shingles(" one two three four  five\n")).all()
+    assert len(ngram_join.shingles("É b")) == 1 and (ngram_join.shingles("É b") != ngram_join.shingles("é b")).all()
+    assert len(ngram_join.word_hashes("a b c")) == 2 and len(ngram_join.shingles(" \n")) == len(ngram_join.shingles(None)) == 0
