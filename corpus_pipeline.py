@@ -37,7 +37,7 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group stays; rows without an id stay where nothing with one is like them."""
     docs = docs.select(*COLUMNS)
-    groups = near_groups(docs.select("doc_id", "text"))
+    groups = near_groups(docs.select("doc_id", "text"), n=5, percent=80)
     first = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
 

@@ -1,0 +1,10 @@
+import corpus_pipeline
+
+
+def test_near_copies_at_five_words_and_0_8(spark):
+    """One changed word of 50: 41 of 51 five-word shingles are shared (0.804), but 43 of 51 four-word ones (0.843 < 0.85)."""
+    words = [f"w{i}" for i in range(50)]
+    near = [*words[:25], "other", *words[26:]]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(words[::-1]))]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()} == {1, 3}
