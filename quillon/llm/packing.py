@@ -3,7 +3,7 @@
 Documents are cut into pieces no longer than a sequence, the first being the short one. Pieces are dealt into blocks of
 bounded size by a hash of their own row; in each block best-fit decreasing makes bins and a local search moves one
 piece, swaps one for one or two for one between underfull bins whenever that raises the sum of squared fills, until
-bins empty. Repeated rows are packed once each; a null or empty text is the end id alone.
+no exchange does or the bound is met. Repeated rows are packed once each; a null or empty text is the end id alone.
 
 Ids are those of the tokenizers file. Where that file is a plain byte-level BPE whose merges stand in id order, the
 same vocabulary is applied by tiktoken, which takes a quarter of the time; texts that hold an added token, or a run
@@ -13,6 +13,7 @@ too long for its quadratic merge, and all other files go to tokenizers itself.
 from __future__ import annotations
 
 import bisect
+import heapq
 import json
 import os
 import re
@@ -29,7 +30,6 @@ from .common import cut
 
 LENGTH = 2048
 BLOCK_PIECES = 50_000
-ROUNDS = 20
 #: Fixed value: the split pattern of byte-level BPE files.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _LONG_RUN = re.compile(r"\S{1000}|\s{1000}")
@@ -72,54 +72,106 @@ def _lower_bound(sizes: list[int], room: int) -> int:
     return best
 
 
-def local_search(bins: list[list[int]], sizes: list[int], room: int, rounds: int = ROUNDS) -> list[list[int]]:
-    """Empties the least filled bin piece by piece, by moves and swaps with the other underfull bins."""
+class _Sources:
+    """For every single size and every sum of two pieces of one bin, the least filled bin that can give it."""
+
+    def __init__(self, sizes: list[int], room: int):
+        self.sizes = sizes
+        self.heaps: list[list[list]] = [[[] for _ in range(room + 1)] for _ in range(2)]
+        self.least = np.full((2, room + 1), 4 * room, dtype=np.int64)  # that bin's fill less the amount
+        self.none = 4 * room
+        self.version: Counter = Counter()
+
+    def amounts(self, items: list[int]) -> tuple[list[int], list[int]]:
+        """Distinct sizes, and distinct sums of two; a bin holds few distinct sizes, as they add up to its room at most."""
+        count = Counter(self.sizes[i] for i in items)
+        own = sorted(count)
+        return own, sorted({x + y for n, x in enumerate(own) for y in own[n:] if x != y or count[x] > 1})
+
+    def add(self, b: int, items: list[int], fill: int) -> None:
+        for kind, qs in enumerate(self.amounts(items)):
+            for q in qs:
+                heapq.heappush(self.heaps[kind][q], (fill, b, self.version[b]))
+                self.least[kind, q] = self.heaps[kind][q][0][0] - q
+
+    def drop(self, b: int, items: list[int]) -> None:
+        self.version[b] += 1
+        for kind, qs in enumerate(self.amounts(items)):
+            for q in qs:
+                heap = self.heaps[kind][q]
+                while heap and heap[0][2] != self.version[heap[0][1]]:
+                    heapq.heappop(heap)
+                self.least[kind, q] = heap[0][0] - q if heap else self.none
+
+    def best(self, own: tuple[list[int], list[int]], fill: int, gap: int) -> tuple[int, int, int, int] | None:
+        """(growth, kind, amount in, amount out) of the largest exchange that raises the sum of squared fills."""
+        found = None
+        for kind, outs in ((0, [0]), (0, own[0]), (1, own[0]), (0, own[1])):  # a move, one for one, two for one, one for two
+            for out in outs:
+                low = out + (found[0] if found else 0)
+                fits = np.flatnonzero(self.least[kind, low + 1 : out + gap + 1] < fill - out)
+                if len(fits):
+                    q = low + 1 + int(fits[-1])
+                    found = (q - out, kind, q, out)
+                    if found[0] == gap:
+                        return found
+        return found
+
+
+def _pick(items: list[int], sizes: list[int], amount: int, two: bool) -> list[int]:
+    """The pieces of a bin that make up an amount."""
+    by_size: dict[int, list[int]] = defaultdict(list)
+    for i in items:
+        by_size[sizes[i]].append(i)
+    if not two:
+        return [by_size[amount][0]] if amount else []
+    for x in sorted(by_size):
+        rest = [i for i in by_size.get(amount - x, []) if i != by_size[x][0]]
+        if rest:
+            return [by_size[x][0], rest[0]]
+    raise ValueError("no such pieces")
+
+
+def local_search(bins: list[list[int]], sizes: list[int], room: int) -> list[list[int]]:
+    """Exchanges between underfull bins until a whole sweep over them finds none that helps, or the bound is met.
+
+    Each bin, the fullest first, takes what fills it most, from the least filled bin that can give it, until it is stuck.
+    """
     floor = _lower_bound(sizes, room)
     live = {b: list(x) for b, x in enumerate(bins)}
     fill = {b: sum(sizes[i] for i in x) for b, x in live.items()}
-    for _ in range(rounds):
-        if len(live) <= floor:
-            break
-        under = sorted((b for b in live if fill[b] < room), key=lambda b: (fill[b], b))
-        if len(under) < 2:
-            break
-        low, others = under[0], under[1:]
+    sources = _Sources(sizes, room)
+    for b in live:
+        if fill[b] < room:
+            sources.add(b, live[b], fill[b])
+    trades, stuck, changed = 0, {}, True
+    while changed and len(live) > floor:
         changed = False
-        for b in reversed(others):
-            gap = room - fill[b]
-            if gap <= 0:
-                continue
-            done = False
-            own = {sizes[i]: i for i in live[low]}
-            give = max((s for s in own if s <= gap), default=None)  # move
-            if give is not None:
-                _trade(live, fill, sizes, low, b, [own[give]], [])
-                changed = done = True
-            if not done and own:  # one for one: the largest growth of b within its gap
-                order = sorted(own)
-                best = None
-                for j in live[b]:
-                    at = bisect.bisect_right(order, sizes[j] + gap) - 1
-                    if at >= 0 and order[at] > sizes[j] and (best is None or order[at] - sizes[j] > best[0]):
-                        best = (order[at] - sizes[j], own[order[at]], j)
-                if best:
-                    _trade(live, fill, sizes, low, b, [best[1]], [best[2]])
-                    changed = done = True
-            if not done and len(live[low]) > 1:  # two for one
-                mine = live[low]
-                pairs = {sizes[x] + sizes[y]: (x, y) for n, x in enumerate(mine[:60]) for y in mine[n + 1 : 60]}
-                order = sorted(pairs)
-                for j in live[b]:
-                    at = bisect.bisect_right(order, sizes[j] + gap) - 1
-                    if at >= 0 and order[at] > sizes[j]:
-                        _trade(live, fill, sizes, low, b, list(pairs[order[at]]), [j])
-                        changed = True
-                        break
-            if not live[low]:
-                del live[low], fill[low]
-                break
-        if not changed:
-            break
+        for b in sorted((b for b in live if fill[b] < room), key=lambda b: (-fill[b], b)):
+            while b in live and fill[b] < room and len(live) > floor:
+                look = tuple(sorted(sizes[i] for i in live[b]))
+                if stuck.get(look) == trades:  # a bin of the same sizes found nothing since the last exchange
+                    break
+                own = sources.amounts(live[b])
+                sources.drop(b, live[b])
+                got = sources.best(own, fill[b], room - fill[b])
+                if got is None:
+                    sources.add(b, live[b], fill[b])
+                    stuck[look] = trades
+                    break
+                _, kind, q, out = got
+                a = sources.heaps[kind][q][0][1]
+                sources.drop(a, live[a])
+                give = _pick(live[a], sizes, q, kind == 1)
+                back = _pick(live[b], sizes, out, out not in own[0] and out > 0)
+                _trade(live, fill, sizes, a, b, give, back)
+                for x in (a, b):
+                    if not live[x]:
+                        del live[x], fill[x]
+                    elif fill[x] < room:
+                        sources.add(x, live[x], fill[x])
+                trades += 1
+                changed = True
     return list(live.values())
 
 
