@@ -2,8 +2,9 @@
 
 Words fall into classes: each heavy word (over 1/HEAVY_WORDS of all tokens, so at most HEAVY_WORDS of them) is its own,
 the others share hashed classes, in which a word's probability is its smoothed share of the class's counts. States emit
-classes. Parameters start from a bounded sample (START_DOCS texts); then one Baum-Welch pass gathers expected counts
-over all training texts, in partitions, and adds them up by block. Scaled forward recursion over whole texts gives the
+classes. A bounded sample (START_DOCS texts) gives initial values only; then each of FULL_STEPS Baum-Welch passes gathers
+expected counts over all training texts, in partitions, and adds them up by block. The texts are turned into class
+numbers once, for all passes. Scaled forward recursion over whole texts gives the
 exact likelihood. Null and empty texts are the end token alone; a repeated row is scored as often as it stands.
 Training reads segments of SEGMENT tokens, which bounds memory on very long texts; scoring does not cut.
 """
@@ -17,6 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 END = 0  # the end token's hash; no word hashes to it
 HEAVY_WORDS, HASHED = 8000, 2048
-STATES, START_DOCS, START_STEPS = 6, 600, 12
+STATES, START_DOCS, START_STEPS, FULL_STEPS = 6, 600, 12, 12
 SEGMENT = 256
 PRIOR = 100.0  # tokens' worth of the overall class shares in each state's
 BLOCK = 256
@@ -177,37 +180,49 @@ def start(seqs: list[np.ndarray], shares: np.ndarray) -> dict:
     return model
 
 
-def full_pass(train: DataFrame, classes: Classes, model: dict, shares: np.ndarray) -> dict:
-    """One Baum-Welch pass over all training texts; counts add up by blocks of classes, fixed in number."""
-    sc = train.sparkSession.sparkContext
-    shared = sc.broadcast((classes, model))  # fixed size: STATES x (HEAVY_WORDS + HASHED)
-    width = STATES * BLOCK
+def coded(train: DataFrame, classes: Classes) -> DataFrame:
+    """v: the class numbers of each text, two bytes each, compressed."""
+    shared = train.sparkSession.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes, model = shared.value
         memo: dict = {}
-        pi, moves, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, classes.size))
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            yield pd.DataFrame({"v": [press.compress(shared.value.of(hashes(t, memo)).astype("<u2").tobytes()) for t in batch["_text"]]})
+
+    return train.select("_text").mapInPandas(run, "v binary")
+
+
+def full_pass(codes: DataFrame, model: dict, shares: np.ndarray) -> dict:
+    """One Baum-Welch pass over all training texts; counts add up by blocks of classes, fixed in number."""
+    shared = codes.sparkSession.sparkContext.broadcast(model)  # fixed size: STATES x (HEAVY_WORDS + HASHED)
+    width = len(shares)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        unpack = zstandard.ZstdDecompressor()
+        pi, moves, emits = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, width))
         for batch in batches:
             parts, firsts = [], []
-            for t in batch["_text"]:
-                p, f = segments(classes.of(hashes(t, memo)))
+            for v in batch["v"]:
+                p, f = segments(np.frombuffer(unpack.decompress(v), dtype="<u2"))
                 parts += p
                 firsts += f
             if parts:
                 got = expected(model, parts, firsts)
                 pi, moves, emits = pi + got[0], moves + got[1], emits + got[2]
         rows = [(-1, np.append(pi, moves.ravel()).tobytes())]
-        rows += [(b, emits[:, b * BLOCK : (b + 1) * BLOCK].tobytes()) for b in range(-(-classes.size // BLOCK))]
+        rows += [(b, emits[:, b * BLOCK : (b + 1) * BLOCK].tobytes()) for b in range(-(-width // BLOCK))]
         yield pd.DataFrame(rows, columns=["b", "v"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(v) for v in frame["v"])
         return pd.DataFrame({"b": frame["b"][:1], "v": [total.tobytes()]})
 
-    got = {r["b"]: np.frombuffer(r["v"]) for r in train.mapInPandas(run, "b int, v binary").groupBy("b").applyInPandas(add, "b int, v binary").collect()}
+    got = {r["b"]: np.frombuffer(r["v"]) for r in codes.mapInPandas(run, "b int, v binary").groupBy("b").applyInPandas(add, "b int, v binary").collect()}
     if -1 not in got:
         return model
-    emits = np.hstack([got[b].reshape(STATES, -1) for b in range(-(-classes.size // BLOCK))])
+    emits = np.hstack([got[b].reshape(STATES, -1) for b in range(-(-width // BLOCK))])
     return settle(got[-1][:STATES], got[-1][STATES:].reshape(STATES, STATES), emits, shares)
 
 
@@ -233,7 +248,11 @@ def lm_report(docs: DataFrame) -> DataFrame:
     shares /= shares.sum()
     sample = train.withColumn("_o", F.xxhash64("doc_id")).orderBy("_o").limit(START_DOCS).select("_text").toPandas()["_text"]
     memo: dict = {}
-    model = full_pass(train.select("_text"), classes, start([classes.of(hashes(t, memo)) for t in sample], shares), shares)
+    model = start([classes.of(hashes(t, memo)) for t in sample], shares)
+    codes = coded(train, classes).persist(StorageLevel.DISK_ONLY)
+    for _ in range(FULL_STEPS):
+        model = full_pass(codes, model, shares)
+    codes.unpersist()
     shared = docs.sparkSession.sparkContext.broadcast((classes, model, heavy_c, size))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
