@@ -2,43 +2,61 @@
 
 from __future__ import annotations
 
-import tempfile
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key with more than 1/HEAVY of the rows is heavy, so at most HEAVY keys are: a proven bound for a broadcast.
 HEAVY = 1000
-#: Rows a table may have to be broadcast whole; the others are salted.
+#: Rows a table of short rows may have to be broadcast whole; larger ones are joined by a shuffle.
 SMALL_ROWS = 20_000
+SMALL_KEYS = 200_000
 SALTS = 32
+SLICE = 4_000_000  # bytes of text that are worked on at once
+FAN_IN = 64  # blocks that one task adds up
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local session may do without the setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set; a cluster needs a folder that all executors share")
+    import tempfile
+
+    return tempfile.mkdtemp(prefix="quillon-")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared checkpoint folder; a temporary one is set only where the session has none."""
+    """Cut lineage into the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillon-"))
-    out = df.checkpoint(eager=True)
-    sc._jvm.java.lang.System.gc()  # lets the cleaner drop shuffle files that the checkpoint has replaced
-    return out
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
 
 
 def join_counted(big: DataFrame, small: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
     """Join many rows to one row per key, where column n of small counts the rows of big by key.
 
-    Heavy keys (at most HEAVY of them) are broadcast, all others are dealt by key.
+    Up to SMALL_KEYS keys are broadcast whole. Beyond that heavy keys (at most HEAVY of them) are, all others are dealt by key.
     """
+    rest = small.drop(n)
+    if small.limit(SMALL_KEYS + 1).count() <= SMALL_KEYS:
+        return big.join(F.broadcast(rest), key, how)
     total = small.agg(F.sum(n)).first()[0] or 0
     at_least = max(total / HEAVY, 8)
     heavy = [r[0] for r in small.where((F.col(n) > at_least) & F.col(key).isNotNull()).select(key).collect()]
-    rest = small.drop(n)
     if not heavy:
         return big.join(rest, key, how)
     marks = big.sparkSession.createDataFrame([(k,) for k in heavy], f"{key} {small.schema[key].dataType.simpleString()}")
@@ -65,3 +83,44 @@ def join_groups(big: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame
 
 def crc_of_id(col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that each holds one row or at most about SLICE bytes of text."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        _, ends = utf8(batch.column(text))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE, side="right")) - 1)
+            yield batch.slice(at, min(stop, batch.num_rows) - at)
+            at = stop
+
+
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a string column, and the offsets between them; nulls are empty."""
+    if texts.null_count:
+        texts = texts.fill_null("")
+    wide = pa.types.is_large_string(texts.type)
+    _, at, data = texts.buffers()
+    ends = np.frombuffer(at, dtype=np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, dtype=np.uint8)
+    return raw, ends - ends[0]
+
+
+def added_up(rows: DataFrame, kind: str, levels: int) -> dict[int, np.ndarray]:
+    """Sums of the blocks v by b (rows: b int, v binary of `kind` numbers), in a tree: no task gets more than FAN_IN blocks of a key
+    while the tasks number at most FAN_IN ** (levels + 1). The number of keys and their width are fixed, so few bytes reach the driver."""
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = np.frombuffer(frame["v"].iloc[0], dtype=kind).copy()
+        for v in frame["v"].iloc[1:]:
+            total += np.frombuffer(v, dtype=kind)
+        return pd.DataFrame({"b": frame["b"].iloc[:1], "part": frame["part"].iloc[:1], "v": [total.tobytes()]})
+
+    rows = rows.select("b", "v", F.spark_partition_id().alias("part"))
+    for _ in range(levels):
+        rows = rows.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("b", "part").applyInPandas(add, "b int, part int, v binary")
+    rows = rows.withColumn("part", F.lit(0)).groupBy("b", "part").applyInPandas(add, "b int, part int, v binary")
+    return {r["b"]: np.frombuffer(r["v"], dtype=kind) for r in rows.collect()}

@@ -1,11 +1,16 @@
 """Exact similarity join on word shingles by T-occurrence search.
 
-Equal sets are one class. Shingles are ordered by a sketch of their document counts, then by hash; a set of n shingles
-that must share T with a partner has n - T + 1 short lists (its rarest shingles), which Spark's sort-merge joins merge, and
-its long lists are probed by binary search in the partner's sorted set (DivideSkip's division, dealt over a cluster). First every set is held
-against the leaders of its lists, which joins large groups of near copies by as many links as sets; then all pairs of
-sets that share a short list and still lie in different components are verified, so no link that matters is lost.
-Null, empty and wordless texts have no shingles and link with nothing.
+Equal sets are one class. Shingles are ordered by a sketch of their counts, then by hash, rare ones first. Two sets of a and
+b shingles link from T common ones on, T depending on both sizes. As DivideSkip does, the lists of a set are divided: its short
+lists, the first a - T + k shingles, are merged, and only partners found in k of them are candidates; its T - k long lists are
+not merged but probed by binary search in each candidate's sorted set. Merging is done by Spark's sort-merge joins and
+counts in place of one machine's heap.
+
+Large groups of near copies would make all pairs, so first every set is held against the leader of its lists, one
+candidate for each set. The exact merge follows for pairs in different components only; one side of it leaves out the
+leader's component. Pairs within a component need no link of their own, so no link that matters is lost.
+Null, empty and wordless texts have no shingles and link with nothing. Every distinct set has a number of its own, so
+repeated and null keys do no harm; a component whose rows all have null keys is named null.
 """
 
 from __future__ import annotations
@@ -15,16 +20,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted
+from .common import added_up, cut, join_counted, text_slices, utf8
 
 SKETCH = 1 << 18
+SKETCH_BLOCKS = 64
 BLOCK = 1 << 20  # bytes of text whose words are hashed at once
 MEMBERS = 128  # sets verified against one copy of a leader
+MERGED = 3  # short lists that a pair must share at least, if it must share so many shingles at all
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.frombuffer(hashlib.shake_256(b"words").digest(256 * 8), dtype="<u8").copy()
@@ -49,186 +56,246 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit polynomial hashes of the folded words, from prefix sums over the bytes."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    out, at = [], 0
-    while at < len(raw):
-        stop = at + BLOCK
-        while stop < len(raw) and not _GAP[raw[stop]]:
-            stop += 1
-        part = raw[at:stop]
-        edge = np.flatnonzero(np.diff(~_GAP[part], prepend=False, append=False))
-        first, end = edge[::2], edge[1::2]
-        up, down = _power(len(part) + 1)
-        total = np.zeros(len(part) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
-        out.append(_mixed((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64)))
+def hashed_words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit polynomial hashes of the folded words of all texts, from prefix sums over their bytes, and each word's text."""
+    word = ~_GAP[raw]
+    edge = np.zeros(len(raw) + 1, dtype=bool)
+    edge[ends] = True  # texts end words
+    begins = word & (edge[:-1] | np.append(True, ~word[:-1])[: len(raw)])
+    stops = word & (edge[1:] | np.append(~word[1:], True)[: len(raw)])
+    first, last = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    out = np.zeros(len(first), dtype=np.uint64)
+    at = 0
+    while at < len(first):
+        stop = max(at + 1, int(np.searchsorted(last, first[at] + BLOCK)))
+        a, b = first[at], last[stop - 1]
+        up, down = _power(b - a + 1)
+        total = np.zeros(b - a + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[raw[a:b]] * up[: b - a], out=total[1:])
+        f, e = first[at:stop] - a, last[at:stop] - a
+        out[at:stop] = _mixed((total[e] - total[f]) * down[f] + (e - f).astype(np.uint64))
         at = stop
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
+    return out, np.searchsorted(ends, first, side="right") - 1
+
+
+def all_shingles(raw: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit names of the n-word shingles of all texts, with repeats, and where each text's begin; fewer words make one shingle."""
+    h, owner = hashed_words(raw, ends)
+    words = np.bincount(owner, minlength=len(ends) - 1)
+    sizes = np.where(words >= n, words - n + 1, np.minimum(words, 1))
+    begin = np.cumsum(sizes) - sizes
+    first = np.cumsum(words) - words
+    out = np.empty(int(sizes.sum()), dtype=np.uint64)
+    for k in range(1, n + 1):
+        texts = np.flatnonzero(words >= n if k == n else words == k)
+        if len(texts):
+            each = sizes[texts]
+            at = np.repeat(first[texts] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+            name = np.full(len(at), k, dtype=np.uint64)
+            for i in range(k):
+                name = _mixed((name ^ h[at + i]) * np.uint64(_ODD))
+            out[np.repeat(begin[texts] - (np.cumsum(each) - each), each) + np.arange(len(at))] = name
+    return out, np.append(begin, len(out))
+
+
+def distinct_shingles(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """Sorted distinct shingles of each text."""
+    names, begin = all_shingles(*utf8(texts), n)
+    for a, b in zip(begin[:-1].tolist(), begin[1:].tolist()):
+        s = np.sort(names[a:b])
+        yield s[np.append(True, s[1:] != s[:-1])] if b > a else s
 
 
 def shingles(text: str | None, n: int = 4) -> np.ndarray:
-    """Sorted distinct 64-bit names of n-word shingles; fewer words make one shingle."""
-    h = word_hashes(text)
-    if not len(h):
-        return h
-    k = min(n, len(h))
-    out = np.full(len(h) - k + 1, k, dtype=np.uint64)
-    for i in range(k):
-        out = _mixed((out ^ h[i : len(h) - k + 1 + i]) * np.uint64(_ODD))
-    return np.unique(out)
-
-
-def needed(a: int, b: int, percent: int) -> int:
-    """Least overlap with 100 * overlap >= percent * union."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
-def _sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [shingles(t, n) for t in batch["_text"]]
-            yield pd.DataFrame({key: batch["_key"], "n_shingles": [len(s) for s in sets], "sig": [_sig(s) for s in sets]})
+    return next(distinct_shingles(pa.array([text], pa.string()), n))
 
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(run, f"{key} {kind}, n_shingles long, sig binary")
 
-
-def _sig(s: np.ndarray) -> bytes | None:
-    return xxhash.xxh128_digest(s.tobytes()) if len(s) else None
+def needed(a, b, percent: int):
+    """Least overlap with 100 * overlap >= percent * union."""
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def _sketch(docs: DataFrame, text: str, n: int) -> np.ndarray:
-    """Rows per bucket of shingles, over all rows; SKETCH numbers, whatever the input."""
+def _sketch(docs: DataFrame, n: int) -> np.ndarray:
+    """Shingles per bucket, over all rows; SKETCH numbers, whatever the input."""
+    width = SKETCH // SKETCH_BLOCKS
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, dtype=np.int64)
-        for batch in batches:
-            for t in batch["_text"]:
-                if t:
-                    np.add.at(total, (shingles(t, n) % np.uint64(SKETCH)).astype(np.int64), 1)
-        for b in range(64):
-            yield pd.DataFrame({"b": [b], "c": [total[b * (SKETCH // 64) : (b + 1) * (SKETCH // 64)].tobytes()]})
-
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SKETCH // 64, dtype=np.int64)
-        for c in frame["c"]:
-            total += np.frombuffer(c, dtype=np.int64)
-        return pd.DataFrame({"b": frame["b"][:1], "c": [total.tobytes()]})
-
-    rows = docs.select(F.col(text).alias("_text")).mapInPandas(run, "b int, c binary").groupBy("b").applyInPandas(add, "b int, c binary").collect()
-    out = np.zeros(SKETCH, dtype=np.int64)
-    for r in rows:
-        out[r["b"] * (SKETCH // 64) : (r["b"] + 1) * (SKETCH // 64)] = np.frombuffer(r["c"], dtype=np.int64)
+        for batch in text_slices(batches, "text"):
+            names, _ = all_shingles(*utf8(batch.column("text")), n)
+            total += np.bincount((names & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+        blocks = [total[b * width : (b + 1) * width].tobytes() for b in range(SKETCH_BLOCKS)]
+        yield pa.RecordBatch.from_pydict({"b": pa.array(range(SKETCH_BLOCKS), pa.int32()), "v": pa.array(blocks, pa.binary())})
+
+    got = added_up(docs.select("text").mapInArrow(run, "b int, v binary"), "<i8", levels=2)
+    out = np.concatenate([got[b] for b in range(SKETCH_BLOCKS)]) if got else np.zeros(SKETCH, dtype=np.int64)
     return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
-def _short_lists(docs: DataFrame, key: str, text: str, sketch, n: int, percent: int) -> DataFrame:
-    """One row per distinct set: sig, id, _n rows, size and tokens, its rarest size - T + 1 shingles, T the least overlap with any partner."""
+def _ranked(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """The sorted set in the order of lists, short ones first; ties stay in the order of hashes."""
+    return s[np.argsort(sketch[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for i, t in zip(batch["id"], batch["_text"]):
-                s = shingles(t, n)
-                if len(s):
-                    k = len(s) - -(-percent * len(s) // 100) + 1
-                    rare = s[np.lexsort((s, sketch.value[(s % np.uint64(SKETCH)).astype(np.int64)]))[:k]]
-                    rows.append((i, _sig(s), len(s), rare.view(np.int64)))
-            yield pd.DataFrame(rows, columns=["id", "sig", "size", "tokens"])
 
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("_text")).mapInPandas(run, "id long, sig binary, size long, tokens array<long>")
-    return rows.groupBy("sig").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("_n"), F.first(F.struct("size", "tokens")).alias("_s")).select("sig", "id", "_n", "_s.*")
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, key: str, text: str, n: int, percent: int) -> DataFrame:
-    """Pairs (x, y) that link. Texts travel compressed, to groups of one x and at most about MEMBERS partners."""
+def _sig(s: np.ndarray) -> bytes | None:
+    return xxhash.xxh128_digest(s.data) if len(s) else None
+
+
+def _short_lists(docs: DataFrame, sketch, n: int, percent: int) -> DataFrame:
+    """key, mark (of the text), sig, size and tokens of every row: the short lists it can need with any partner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_slices(batches, "text"):
+            sigs, sizes, lists = [], [], []
+            for s in distinct_shingles(batch.column("text"), n):
+                short = len(s) + percent * len(s) // -100 + MERGED
+                sigs.append(_sig(s))
+                sizes.append(len(s))
+                lists.append(_ranked(s, sketch.value)[:short].view(np.int64))
+            at = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            tokens = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(lists)))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("mark"), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), tokens], ["key", "mark", "sig", "size", "tokens"])
+
+    kind = docs.schema["key"].dataType.simpleString()
+    return docs.mapInArrow(run, f"key {kind}, mark long, sig binary, size int, tokens array<long>")
+
+
+def _packs(docs: DataFrame, wanted: DataFrame, sketch, n: int) -> DataFrame:
+    """(set, pack): the shingles of each wanted set (set, sig, mark) in the order of lists. Texts that are not wanted stay in their scan."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[bytes] = set()
+        for batch in text_slices(batches, "text"):
+            sigs, packs = [], []
+            for s in distinct_shingles(batch.column("text"), n):
+                sig = _sig(s)
+                if sig and sig not in told:
+                    told.add(sig)
+                    sigs.append(sig)
+                    packs.append(_ranked(s, sketch.value).tobytes())
+            if len(told) > 200_000:
+                told.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(packs, pa.binary())], ["sig", "pack"])
+
+    marks = wanted.groupBy("mark").agg(F.count(F.lit(1)).alias("_n"))
+    found = join_counted(docs.select("mark", "text"), marks, "mark", "_n", "left_semi").mapInArrow(run, "sig binary, pack binary")
+    found = found.groupBy("sig").agg(F.first("pack").alias("pack"))
+    return found.join(wanted.select("set", "sig"), "sig").select("set", "pack")
+
+
+def _verify(pairs: DataFrame, packs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) that link. merged counts their common short lists, null where that is not known; the long ones are probed here.
+
+    A group is one x and about MEMBERS partners at most, however many x has.
+    """
     counts = cut(pairs.groupBy("x").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / MEMBERS)))
     dealt = join_counted(pairs, counts, "x", "_n").withColumn("part", F.pmod(F.xxhash64("y"), F.col("_parts")))
-    asked = cut(dealt.select("x", "part", F.col("y").alias("id")).unionByName(dealt.select("x", "part", F.col("x").alias("id")).distinct()))
+    own = dealt.select("x", "part", F.col("x").alias("set"), F.lit(None).cast("long").alias("merged")).distinct()
+    asked = cut(dealt.select("x", "part", F.col("y").alias("set"), "merged").unionByName(own))
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "pack": [press.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch["_text"]]})
-
-    packs = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("_text")).mapInPandas(pack, "id long, pack binary")
-    packs = packs.groupBy("id").agg(F.max("pack").alias("pack"))
+    def common(part: np.ndarray, others: np.ndarray) -> int:
+        if not len(part) or not len(others):
+            return 0
+        at = np.minimum(np.searchsorted(others, part), len(others) - 1)
+        return int((others[at] == part).sum())
 
     def check(frame: pd.DataFrame) -> pd.DataFrame:
-        unpack = zstandard.ZstdDecompressor()
         x = frame["x"].iloc[0]
-        sets = {i: shingles(unpack.decompress(p).decode("utf-8", "surrogatepass"), n) for i, p in zip(frame["id"], frame["pack"])}
-        own, hit = sets.pop(x), []
-        for y, other in sets.items():
-            small, large = (own, other) if len(own) <= len(other) else (other, own)
-            if not len(small):
+        own = np.frombuffer(frame.loc[frame["set"] == x, "pack"].iloc[0], dtype=np.uint64)
+        hit = []
+        for y, pack, merged in zip(frame["set"], frame["pack"], frame["merged"]):
+            if y == x:
                 continue
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            if int((large[at] == small).sum()) >= needed(len(own), len(other), percent):
+            other = np.frombuffer(pack, dtype=np.uint64)
+            least = needed(len(own), len(other), percent)
+            if merged == merged and merged is not None:
+                spare = min(MERGED, least) - least
+                a, b = len(own) + spare, len(other) + spare
+                found = int(merged) + common(own[a:], np.sort(other)) + common(own[:a], np.sort(other[b:]))
+            else:
+                found = common(own, np.sort(other))
+            if found >= least:
                 hit.append(y)
         return pd.DataFrame({"x": [x] * len(hit), "y": hit}, dtype="int64")
 
-    return asked.join(packs, "id").groupBy("x", "part").applyInPandas(check, "x long, y long")
+    return asked.join(packs, "set").groupBy("x", "part").applyInPandas(check, "x long, y long")
 
 
-def components(links: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, comp): the smallest id reachable, by hooking onto the smallest neighbour and pointer jumping."""
-    at = cut(ids.select("id", F.col("id").alias("comp")))
-    both = cut(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    if both.isEmpty():
-        return at
-    edges = both
-    while True:
+def components(links: DataFrame) -> DataFrame:
+    """(id, comp) of every linked id: the smallest id reachable, by hooking onto the smallest neighbour and pointer jumping."""
+    edges = cut(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    at = None
+    while not edges.isEmpty():
         # every component hooks onto the least neighbour; then pointers jump to roots
-        low = edges.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p"))
-        parent = cut(low)
+        parent = cut(edges.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p")))
         while True:
             up = parent.select(F.col("x").alias("p"), F.col("p").alias("q"))
             jumped = cut(parent.join(up, "p", "left").select("x", F.coalesce("q", "p").alias("q"), "p"))
-            moved = jumped.where("q <> p").limit(1).count()
             parent = jumped.select("x", F.col("q").alias("p"))
-            if not moved:
+            if jumped.where("q <> p").isEmpty():
                 break
-        at = cut(at.join(parent.withColumnRenamed("x", "comp"), "comp", "left").select("id", F.coalesce("p", "comp").alias("comp")))
+        if at is None:
+            at = parent.select(F.col("x").alias("id"), F.col("p").alias("comp"))
+        else:
+            at = cut(at.join(parent.withColumnRenamed("x", "comp"), "comp", "left").select("id", F.coalesce("p", "comp").alias("comp")))
         a = parent.select("x", F.col("p").alias("px"))
         b = parent.select(F.col("x").alias("y"), F.col("p").alias("py"))
         edges = cut(edges.join(a, "x").join(b, "y").where("px <> py").select(F.col("px").alias("x"), F.col("py").alias("y")).distinct())
-        if edges.isEmpty():
-            return at
+    return at if at is not None else links.select(F.col("x").alias("id"), F.col("y").alias("comp"))
+
+
+def _within(size: str, at: str, least, k):
+    """Whether a shingle at this place of its set is one of the pair's short lists."""
+    return F.col(at) < F.col(size) - least + k
+
+
+def _candidates(open_: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """(x, y, merged) of different components that share enough short lists; open_ has token, set, size, at, lead."""
+    named = join_counted(open_, comps.withColumn("_n", F.lit(1)).withColumnRenamed("id", "set"), "set", "_n", "left").withColumn("comp", F.coalesce("comp", "set"))
+    named = cut(named.drop("lead").join(named.where("set = lead").select("token", F.col("comp").alias("most")), "token"))
+    y = named.select("token", F.col("set").alias("y"), F.col("size").alias("sy"), F.col("at").alias("ay"), F.col("comp").alias("cy"))
+    x = named.where("comp <> most").select("token", F.col("set").alias("x"), F.col("size").alias("sx"), F.col("at").alias("ax"), F.col("comp").alias("cx"), "most")
+    least = F.expr(f"(({percent} * (sx + sy) + {99 + percent}) div {100 + percent})")
+    k = F.least(F.lit(MERGED), least)
+    fits = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("most")) | (F.col("x") < F.col("y")))
+    pairs = x.join(y, "token").where(fits & _within("sx", "ax", least, k) & _within("sy", "ay", least, k) & (F.least("sx", "sy") >= least))
+    pairs = pairs.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("merged"), F.first(k).alias("k"))
+    return pairs.where("merged >= k").drop("k")
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """key, n_shingles, component_id for every row."""
-    sets = cut(_sets(docs, key, text, n))
-    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, text, n))
-    classes = cut(_short_lists(docs, key, text, sketch, n, percent))
-    ids = classes.where("id IS NOT NULL").select("id").distinct()
-    lists = classes.where("id IS NOT NULL").select(F.explode("tokens").alias("token"), "id", "size")
-    counts = cut(lists.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), F.min("id").alias("lead")).where("_n > 1"))
-    lists = cut(join_counted(lists, counts, "token", "_n"))
-
-    # 1: each set against the leader of each of its lists, most shared lists first
-    stars = lists.where("id <> lead").groupBy(F.col("id").alias("y"), F.col("lead").alias("x")).agg(F.count(F.lit(1)).alias("m"))
-    stars = stars.groupBy("y").agg(F.max_by("x", F.struct("m", -F.col("x"))).alias("x")).select("x", "y")
-    links = cut(_verify(stars, docs, key, text, n, percent))
-    at = components(links, ids)
-
-    # 2: lists that still hold several components, pair by pair across components
-    labelled = lists.drop("lead").join(at, "id")
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo <> hi")
-    open_ = cut(join_counted(labelled, mixed.select("token", "_n"), "token", "_n"))
-    x = open_.select("token", F.col("id").alias("x"), F.col("size").alias("sx"), F.col("comp").alias("cx"))
-    y = open_.select("token", F.col("id").alias("y"), F.col("size").alias("sy"), F.col("comp").alias("cy"))
-    fits = (F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & (100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy"))
-    pairs = cut(x.join(y, "token").where(fits).select("x", "y").distinct())
+    docs = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, n))  # SKETCH numbers of four bytes
+    rows = cut(_short_lists(docs, sketch, n, percent))
+    sets = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("least"), F.first(F.struct("mark", "size", "tokens")).alias("_s"))
+    sets = cut(sets.select("sig", "_n", "least", "_s.*", F.monotonically_increasing_id().alias("set")))
+    lists = sets.select("set", "size", F.posexplode("tokens").alias("at", "token"))
+    shared = cut(lists.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    open_ = cut(join_counted(lists, shared, "token", "_n"))
+    leads = open_.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.col("at") / F.col("size"), "set", "size", "at")).alias("_l"))
+    open_ = cut(join_counted(open_, leads.select("token", "_n", F.col("_l.set").alias("lead"), F.col("_l.size").alias("lsize"), F.col("_l.at").alias("lat")), "token", "_n"))
+    wanted = open_.select("set").distinct().withColumn("_n", F.lit(1))
+    packs = cut(_packs(docs, join_counted(sets.select("set", "sig", "mark"), wanted, "set", "_n"), sketch, n))
+
+    # 1: each set against the leader of each of its lists, the one most of them share
+    least = F.expr(f"(({percent} * (size + lsize) + {99 + percent}) div {100 + percent})")
+    k = F.least(F.lit(MERGED), least)
+    stars = open_.where((F.col("set") != F.col("lead")) & _within("size", "at", least, k) & _within("lsize", "lat", least, k))
+    stars = stars.groupBy(F.col("set").alias("y"), F.col("lead").alias("x")).agg(F.count(F.lit(1)).alias("m"))
+    stars = stars.groupBy("y").agg(F.max_by("x", F.struct("m", -F.col("x"))).alias("x")).select("x", "y", F.lit(None).cast("long").alias("merged"))
+    links = cut(_verify(stars, packs, percent))
+
+    # 2: the exact merge, across components
+    pairs = cut(_candidates(open_.select("token", "set", "size", "at", "lead"), components(links), percent))
     if not pairs.isEmpty():
-        more = cut(_verify(pairs, docs, key, text, n, percent))
-        at = components(links.unionByName(more), ids)
-
-    named = classes.join(at, "id").select("sig", "comp", "_n")
-    out = join_counted(sets.where("sig IS NOT NULL"), named, "sig", "_n", "left")
-    alone = sets.where("sig IS NULL").withColumn("comp", F.col(key))
-    return out.unionByName(alone).select(key, "n_shingles", F.coalesce("comp", F.col(key)).alias("component_id"))
+        links = cut(links.unionByName(_verify(pairs, packs, percent)))
+    comps = components(links)
+
+    linked = join_counted(sets.select("set", "least"), comps.select(F.col("id").alias("set"), "comp", F.lit(1).alias("_n")), "set", "_n")
+    named = linked.join(linked.groupBy("comp").agg(F.min("least").alias("name")), "comp").select("set", "name", F.lit(1).alias("_n"))
+    shown = join_counted(sets.select("set", "sig", "_n", "least"), named.withColumnRenamed("_n", "_m"), "set", "_m", "left")
+    shown = cut(shown.where("_n > 1 OR name IS NOT NULL").select("sig", "_n", F.coalesce("name", "least").alias("name")))
+    out = join_counted(rows.where("sig IS NOT NULL").drop("tokens", "mark"), shown, "sig", "_n", "left")
+    alone = rows.where("sig IS NULL").drop("tokens", "mark").withColumn("name", F.col("key"))
+    return out.unionByName(alone).select(F.col("key").alias(key), F.col("size").cast("long").alias("n_shingles"), F.coalesce("name", "key").alias("component_id"))
