@@ -78,6 +78,10 @@ def hashed_words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, np.searchsorted(ends, first, side="right") - 1
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    return hashed_words(*utf8(pa.array([text], pa.string())))[0]
+
+
 def all_shingles(raw: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit names of the n-word shingles of all texts, with repeats, and where each text's begin; fewer words make one shingle."""
     h, owner = hashed_words(raw, ends)
@@ -275,21 +279,24 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     open_ = cut(join_counted(lists, shared, "token", "_n"))
     leads = open_.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.col("at") / F.col("size"), "set", "size", "at")).alias("_l"))
     open_ = cut(join_counted(open_, leads.select("token", "_n", F.col("_l.set").alias("lead"), F.col("_l.size").alias("lsize"), F.col("_l.at").alias("lat")), "token", "_n"))
-    wanted = open_.select("set").distinct().withColumn("_n", F.lit(1))
-    packs = cut(_packs(docs, join_counted(sets.select("set", "sig", "mark"), wanted, "set", "_n"), sketch, n))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("x").alias("set")).unionByName(pairs.select(F.col("y").alias("set"))).distinct().withColumn("_n", F.lit(1))
+        wanted = cut(join_counted(sets.select("set", "sig", "mark"), cut(asked), "set", "_n"))
+        return cut(_verify(pairs, _packs(docs, wanted, sketch, n), percent))
 
     # 1: each set against the leader of each of its lists, the one most of them share
     least = F.expr(f"(({percent} * (size + lsize) + {99 + percent}) div {100 + percent})")
     k = F.least(F.lit(MERGED), least)
     stars = open_.where((F.col("set") != F.col("lead")) & _within("size", "at", least, k) & _within("lsize", "lat", least, k))
-    stars = stars.groupBy(F.col("set").alias("y"), F.col("lead").alias("x")).agg(F.count(F.lit(1)).alias("m"))
+    stars = stars.groupBy(F.col("set").alias("y"), F.col("lead").alias("x")).agg(F.count(F.lit(1)).alias("m"), F.max(k).alias("k")).where("m >= k")
     stars = stars.groupBy("y").agg(F.max_by("x", F.struct("m", -F.col("x"))).alias("x")).select("x", "y", F.lit(None).cast("long").alias("merged"))
-    links = cut(_verify(stars, packs, percent))
+    links = verified(cut(stars))
 
     # 2: the exact merge, across components
     pairs = cut(_candidates(open_.select("token", "set", "size", "at", "lead"), components(links), percent))
     if not pairs.isEmpty():
-        links = cut(links.unionByName(_verify(pairs, packs, percent)))
+        links = cut(links.unionByName(verified(pairs)))
     comps = components(links)
 
     linked = join_counted(sets.select("set", "least"), comps.select(F.col("id").alias("set"), "comp", F.lit(1).alias("_n")), "set", "_n")

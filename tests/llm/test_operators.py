@@ -82,7 +82,7 @@ def test_hmm_forward_is_exact():
                 q *= model["A"][z[t - 1], z[t]] * model["E"][z[t], s[t]]
             p += q
         assert abs(got - np.log10(p)) < 1e-9
-    pi, moves, emits = hmm.expected(model, seqs, [True] * 3)
+    pi, moves, emits, _ = hmm.expected(model, seqs)
     assert abs(pi.sum() - 3) < 1e-9 and abs(moves.sum() - 8) < 1e-9 and abs(emits.sum() - 11) < 1e-9
 
 
