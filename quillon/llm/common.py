@@ -67,9 +67,9 @@ def join_counted(big: DataFrame, small: DataFrame, key: str, n: str, how: str =
     return cold_big.join(cold_small, key, how).unionByName(hot_big.join(hot_small, key, "inner"))
 
 
-def join_groups(big: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """Left join of rows to one row per group, nulls equal: groups are broadcast up to SMALL_ROWS, else salted."""
-    few = groups.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+def join_groups(big: DataFrame, groups: DataFrame, keys: list[str], most: int = SMALL_ROWS) -> DataFrame:
+    """Left join of rows to one row per group, nulls equal: `most` groups are broadcast at most, more are salted."""
+    few = most and groups.limit(most + 1).count() <= most
     renamed = reduce(lambda d, k: d.withColumnRenamed(k, f"_g_{k}"), keys, groups)
     on = reduce(lambda a, b: a & b, [big[k].eqNullSafe(renamed[f"_g_{k}"]) for k in keys])
     drop = [f"_g_{k}" for k in keys]

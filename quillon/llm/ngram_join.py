@@ -1,13 +1,14 @@
 """Exact similarity join on word shingles by T-occurrence search.
 
 Equal sets are one class. Shingles are ordered by a sketch of their counts, then by hash, rare ones first. Two sets of a and
-b shingles link from T common ones on, T depending on both sizes. As DivideSkip does, the lists of a set are divided: its short
-lists, the first a - T + k shingles, are merged, and only partners found in k of them are candidates; its T - k long lists are
-not merged but probed by binary search in each candidate's sorted set. Merging is done by Spark's sort-merge joins and
-counts in place of one machine's heap.
+b shingles link from T common ones on, T depending on both sizes. As DivideSkip does, the lists of a pair are divided: its
+short lists, the first a - T + k and b - T + k shingles, are merged, and the pair is dropped unless it is found in k of them;
+the other, long lists are not merged but probed by binary search. Who meets in a short list at all (k = 1) is found by Spark's
+sort-merge joins of the lists, in place of one machine's heap; merging on, up to k, and probing are done pair by pair, a
+set beside its partners.
 
 Large groups of near copies would make all pairs, so first every set is held against the leader of its lists, one
-candidate for each set. The exact merge follows for pairs in different components only; one side of it leaves out the
+candidate for each set. The exact search follows for pairs in different components only; one side of it leaves out the
 leader's component. Pairs within a component need no link of their own, so no link that matters is lost.
 Null, empty and wordless texts have no shingles and link with nothing. Every distinct set has a number of its own, so
 repeated and null keys do no harm; a component whose rows all have null keys is named null.
@@ -31,7 +32,8 @@ SKETCH = 1 << 18
 SKETCH_BLOCKS = 64
 BLOCK = 1 << 20  # bytes of text whose words are hashed at once
 MEMBERS = 128  # sets verified against one copy of a leader
-MERGED = 3  # short lists that a pair must share at least, if it must share so many shingles at all
+MERGED = 8  # one in so many of the shingles that a pair must share is to be among its short lists
+STAR = 2  # short lists that a set shares with its leader at least
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _BYTE = np.frombuffer(hashlib.shake_256(b"words").digest(256 * 8), dtype="<u8").copy()
@@ -119,6 +121,25 @@ def needed(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def overlap(x: np.ndarray, y: np.ndarray, least: int) -> int:
+    """Common shingles of two sets in the order of lists, or 0 where the merged short lists show that they are under `least`."""
+    k = 1 + (least - 1) // MERGED
+    a, b = len(x) - least + k, len(y) - least + k
+    if least > min(len(x), len(y)):
+        return 0
+    short = np.sort(np.concatenate([x[:a], y[:b]]))
+    merged = int((short[1:] == short[:-1]).sum())
+    return merged + _probed(x[a:], y) + _probed(x[:a], y[b:]) if merged >= k else 0
+
+
+def _probed(part: np.ndarray, others: np.ndarray) -> int:
+    if not len(part) or not len(others):
+        return 0
+    others = np.sort(others)
+    at = np.minimum(np.searchsorted(others, part), len(others) - 1)
+    return int((others[at] == part).sum())
+
+
 def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     """Shingles per bucket, over all rows; SKETCH numbers, whatever the input."""
     width = SKETCH // SKETCH_BLOCKS
@@ -152,7 +173,7 @@ def _short_lists(docs: DataFrame, sketch, n: int, percent: int) -> DataFrame:
         for batch in text_slices(batches, "text"):
             sigs, sizes, lists = [], [], []
             for s in distinct_shingles(batch.column("text"), n):
-                short = len(s) + percent * len(s) // -100 + MERGED
+                short = len(s) + percent * len(s) // -100 + 1
                 sigs.append(_sig(s))
                 sizes.append(len(s))
                 lists.append(_ranked(s, sketch.value)[:short].view(np.int64))
@@ -188,37 +209,18 @@ def _packs(docs: DataFrame, wanted: DataFrame, sketch, n: int) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, packs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) that link. merged counts their common short lists, null where that is not known; the long ones are probed here.
-
-    A group is one x and about MEMBERS partners at most, however many x has.
-    """
+    """Pairs (x, y) that link. A group is one x and about MEMBERS partners at most, however many x has."""
     counts = cut(pairs.groupBy("x").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / MEMBERS)))
     dealt = join_counted(pairs, counts, "x", "_n").withColumn("part", F.pmod(F.xxhash64("y"), F.col("_parts")))
-    own = dealt.select("x", "part", F.col("x").alias("set"), F.lit(None).cast("long").alias("merged")).distinct()
-    asked = cut(dealt.select("x", "part", F.col("y").alias("set"), "merged").unionByName(own))
-
-    def common(part: np.ndarray, others: np.ndarray) -> int:
-        if not len(part) or not len(others):
-            return 0
-        at = np.minimum(np.searchsorted(others, part), len(others) - 1)
-        return int((others[at] == part).sum())
+    asked = cut(dealt.select("x", "part", F.col("y").alias("set")).unionByName(dealt.select("x", "part", F.col("x").alias("set")).distinct()))
 
     def check(frame: pd.DataFrame) -> pd.DataFrame:
         x = frame["x"].iloc[0]
-        own = np.frombuffer(frame.loc[frame["set"] == x, "pack"].iloc[0], dtype=np.uint64)
-        hit = []
-        for y, pack, merged in zip(frame["set"], frame["pack"], frame["merged"]):
-            if y == x:
-                continue
-            other = np.frombuffer(pack, dtype=np.uint64)
+        sets = {i: np.frombuffer(pack, dtype=np.uint64) for i, pack in zip(frame["set"], frame["pack"])}
+        own, hit = sets.pop(x), []
+        for y, other in sets.items():
             least = needed(len(own), len(other), percent)
-            if merged == merged and merged is not None:
-                spare = min(MERGED, least) - least
-                a, b = len(own) + spare, len(other) + spare
-                found = int(merged) + common(own[a:], np.sort(other)) + common(own[:a], np.sort(other[b:]))
-            else:
-                found = common(own, np.sort(other))
-            if found >= least:
+            if overlap(own, other, least) >= least:
                 hit.append(y)
         return pd.DataFrame({"x": [x] * len(hit), "y": hit}, dtype="int64")
 
@@ -248,23 +250,21 @@ def components(links: DataFrame) -> DataFrame:
     return at if at is not None else links.select(F.col("x").alias("id"), F.col("y").alias("comp"))
 
 
-def _within(size: str, at: str, least, k):
-    """Whether a shingle at this place of its set is one of the pair's short lists."""
-    return F.col(at) < F.col(size) - least + k
+def _within(size: str, at: str, least):
+    """Whether a shingle at this place of its set is one of the first short lists of the pair: beyond them fewer than `least` are left."""
+    return F.col(at) <= F.col(size) - least
 
 
 def _candidates(open_: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """(x, y, merged) of different components that share enough short lists; open_ has token, set, size, at, lead."""
+    """(x, y) of different components that meet in a short list; open_ has token, set, size, at, lead."""
     named = join_counted(open_, comps.withColumn("_n", F.lit(1)).withColumnRenamed("id", "set"), "set", "_n", "left").withColumn("comp", F.coalesce("comp", "set"))
     named = cut(named.drop("lead").join(named.where("set = lead").select("token", F.col("comp").alias("most")), "token"))
     y = named.select("token", F.col("set").alias("y"), F.col("size").alias("sy"), F.col("at").alias("ay"), F.col("comp").alias("cy"))
     x = named.where("comp <> most").select("token", F.col("set").alias("x"), F.col("size").alias("sx"), F.col("at").alias("ax"), F.col("comp").alias("cx"), "most")
     least = F.expr(f"(({percent} * (sx + sy) + {99 + percent}) div {100 + percent})")
-    k = F.least(F.lit(MERGED), least)
     fits = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("most")) | (F.col("x") < F.col("y")))
-    pairs = x.join(y, "token").where(fits & _within("sx", "ax", least, k) & _within("sy", "ay", least, k) & (F.least("sx", "sy") >= least))
-    pairs = pairs.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("merged"), F.first(k).alias("k"))
-    return pairs.where("merged >= k").drop("k")
+    pairs = x.join(y, "token").where(fits & _within("sx", "ax", least) & _within("sy", "ay", least))
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
@@ -287,10 +287,9 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
     # 1: each set against the leader of each of its lists, the one most of them share
     least = F.expr(f"(({percent} * (size + lsize) + {99 + percent}) div {100 + percent})")
-    k = F.least(F.lit(MERGED), least)
-    stars = open_.where((F.col("set") != F.col("lead")) & _within("size", "at", least, k) & _within("lsize", "lat", least, k))
-    stars = stars.groupBy(F.col("set").alias("y"), F.col("lead").alias("x")).agg(F.count(F.lit(1)).alias("m"), F.max(k).alias("k")).where("m >= k")
-    stars = stars.groupBy("y").agg(F.max_by("x", F.struct("m", -F.col("x"))).alias("x")).select("x", "y", F.lit(None).cast("long").alias("merged"))
+    stars = open_.where((F.col("set") != F.col("lead")) & _within("size", "at", least) & _within("lsize", "lat", least))
+    stars = stars.groupBy(F.col("set").alias("y"), F.col("lead").alias("x")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= STAR)
+    stars = stars.groupBy("y").agg(F.max_by("x", F.struct("m", -F.col("x"))).alias("x")).select("x", "y")
     links = verified(cut(stars))
 
     # 2: the exact merge, across components
