@@ -1,9 +1,10 @@
 """Media columns: payloads as 8-bit mono PCM in WAV form, cut by content, deduplicated and rebuilt.
 
-Gear-hash cuts make chunks. Joins on chunk digests alone (a small table) name one owner for each distinct chunk; each
-distinct medium travels once, as a compressed container, and gives the chunks it owns to the media that share them.
-Ordered chunk lists rebuild every medium from owned and given chunks, and its digest is verified. Null and empty texts
-give 64 zero bytes. Equal texts share one medium; hot chunks and media are given in several copies, dealt over salts.
+Gear-hash cuts make chunks. Joins on chunk digests alone (a small table) name one owner for each distinct chunk, and the
+store keeps each distinct chunk once: a medium's entry holds the chunks that it owns, compressed together. Ordered chunk
+lists rebuild every medium from its own chunks and from those that other entries give, and its digest is verified. Null and
+empty texts give 64 zero bytes. Equal texts share one medium; hot chunks and media are given in several copies, dealt over
+salts. Null and repeated keys are rows like others.
 """
 
 from __future__ import annotations
@@ -131,40 +132,61 @@ def owners(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own.select("digest", "_own.*", "copies"), cut(foreign.select("media_id", "seq", "digest", "copies"))
 
 
-def _slices(held: dict) -> list[bytes]:
-    media = zstandard.ZstdDecompressor().decompress(held["pack"])
+def _chunks(held: dict, missing) -> list[bytes | None]:
+    """The chunks of a store entry in order, None where another entry owns one."""
+    own = zstandard.ZstdDecompressor().decompress(held["pack"])
     ends = np.frombuffer(held["ends"], dtype="<u4").tolist()
-    return [media[a:b] for a, b in zip([0, *ends], ends)]
+    gone, out, at = set() if missing is None else set(missing), [], 0
+    for seq, (a, b) in enumerate(zip([0, *ends], ends)):
+        out.append(None if seq in gone else own[at : at + b - a])
+        at += 0 if seq in gone else b - a
+    return out
+
+
+def store(docs: DataFrame, foreign: DataFrame, text: str = "text") -> DataFrame:
+    """media_id, held (ends of all chunks and the owned ones, compressed), missing (places of the others): each distinct chunk once."""
+    missing = foreign.groupBy("media_id").agg(F.collect_list("seq").alias("missing"))
+    whole = containers(docs, text).join(missing, "media_id", "left")
+
+    def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            held = []
+            for h, gone in zip(batch["held"], batch["missing"]):
+                if gone is not None:
+                    media = zstandard.ZstdDecompressor().decompress(h["pack"])
+                    ends, gone = np.frombuffer(h["ends"], dtype="<u4").tolist(), set(gone)
+                    h = {"ends": h["ends"], "pack": press.compress(b"".join(media[a:b] for seq, (a, b) in enumerate(zip([0, *ends], ends)) if seq not in gone))}
+                held.append(h)
+            yield pd.DataFrame({"media_id": batch["media_id"], "held": held, "missing": batch["missing"]})
+
+    return cut(whole.mapInPandas(thin, "media_id binary, held struct<ends: binary, pack: binary>, missing array<int>"))
 
 
 def rebuilt(docs: DataFrame, lists: DataFrame, text: str = "text") -> DataFrame:
-    """One row per distinct medium: media_id, held (its container), missing (seqs it does not own), given (chunks)."""
+    """One row per distinct medium: media_id, held and missing (its entry of the store), given (the chunks it lacks)."""
     own, foreign = owners(lists)
     giving = own.groupBy("media_id").agg(F.collect_list(F.struct("seq", "digest", "copies")).alias("giving"))
-    missing = foreign.groupBy("media_id").agg(F.collect_list("seq").alias("missing"))
-    held = containers(docs, text)
+    held = store(docs, foreign, text)
 
     def give(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             pack, rows = zstandard.ZstdCompressor(level=3), []
-            for h, wanted in zip(batch["held"], batch["giving"]):
-                parts = _slices(h)
-                for w in wanted:
-                    data = pack.compress(parts[w["seq"]])
-                    rows += [(w["digest"], salt, data) for salt in range(w["copies"])]
-            yield pd.DataFrame(rows, columns=["digest", "salt", "data"])
-
-    gifts = held.join(giving, "media_id").select("held", "giving").mapInPandas(give, "digest binary, salt int, data binary")
+            for h, missing, wanted in zip(batch["held"], batch["missing"], batch["giving"]):
+                parts = _chunks(h, missing)
+                rows += [(w["digest"], w["copies"], pack.compress(parts[w["seq"]])) for w in wanted]
+            yield pd.DataFrame(rows, columns=["digest", "copies", "data"])
+
+    gifts = held.join(giving, "media_id").select("held", "missing", "giving").mapInPandas(give, "digest binary, copies int, data binary")
+    gifts = gifts.select("digest", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), "data")
     takers = foreign.withColumn("salt", F.pmod(F.xxhash64("media_id", "seq"), F.col("copies")).cast("int")).drop("copies")
     given = takers.join(gifts, ["digest", "salt"]).groupBy("media_id").agg(F.collect_list(F.struct("seq", "data")).alias("given"))
-    return held.join(missing, "media_id", "left").join(given, "media_id", "left")
+    return held.join(given, "media_id", "left")
 
 
 def assembled(media_id: bytes, held: dict, missing, given) -> bytes:
     """The medium from the chunks it owns and those given; verified by its digest."""
-    parts: list = _slices(held)
-    for seq in missing if missing is not None else ():
-        parts[seq] = None
+    parts = _chunks(held, missing)
     unpack = zstandard.ZstdDecompressor()
     for g in given if given is not None else ():
         parts[g["seq"]] = unpack.decompress(g["data"])
@@ -186,12 +208,12 @@ def media_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             for media_id, held, missing, given, copies in zip(batch["media_id"], batch["held"], batch["missing"], batch["given"], batch["copies"]):
                 media = assembled(media_id, held, missing, given)
                 got = from_wav(media)
-                fact = (len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), features(got))
-                rows += [(media_id, salt, *fact) for salt in range(copies)]
-            yield pd.DataFrame(rows, columns=["media_id", "salt", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                rows.append((media_id, copies, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), features(got)))
+            yield pd.DataFrame(rows, columns=["media_id", "copies", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     media = rebuilt(docs, lists, text).join(counts.select("media_id", "copies"), "media_id")
-    facts = media.mapInPandas(read, "media_id binary, salt int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    facts = media.mapInPandas(read, "media_id binary, copies int, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    facts = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     rows = join_counted(lists.select(key, "n_bytes", "media_id"), counts, "media_id", "_n")
     rows = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.col("copies")).cast("int"))
     return rows.join(facts, ["media_id", "salt"]).select(key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
