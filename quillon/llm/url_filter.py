@@ -2,8 +2,11 @@
 
 Rules (host and its subdomains, path prefix; the longest wins) give verdicts and, through them, the accepted and
 rejected URLs that train two smoothed variable-order Markov models. A URL without a rule is judged by the difference of
-log-likelihoods per character against a calibrated threshold. Null URLs and those without :// have empty host and path
-and are judged by the models as empty (difference 0). Without training URLs of both kinds the threshold is 0.
+log-likelihoods per character against a threshold. Of the labelled URLs, one in CALIBRATE (by hash) trains no model but
+sets the threshold, midway between the medians of the accepted and the rejected; where it lacks a kind, all labelled URLs
+do, and without URLs of both kinds the threshold is 0. Null URLs and those without :// have empty host and path and score
+0. A URL (host and path) is scored once, however many rows have it, and counts in training as often as it stands; keys,
+null or repeated, play no part.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, join_counted
 
 RULES = (
     ("com/", "allow"),
@@ -24,7 +27,7 @@ RULES = (
 )
 ORDER = 4  # characters of context at most
 BETA = 2.0  # weight of the shorter context
-LEAST_SEEN = 2  # times an accepted or rejected URL must show a gram
+CALIBRATE = 5
 ALPHABET = 70.0
 SMALL_GRAMS = 200_000  # grams that may be broadcast; short strings and two numbers each
 
@@ -49,18 +52,19 @@ def with_rule(df: DataFrame, rules=RULES) -> DataFrame:
 
 
 def _grams(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per character: the longest gram (context and character) that ends there."""
-    text = F.concat(F.lit("^" * ORDER), F.regexp_replace(F.lower(F.concat("host", "path")), r"[^a-z0-9\-._~/%+=&:@!,;()]", "?"), F.lit("$"))
+    """One row per character of column url: the longest gram (context and character) that ends there."""
+    text = F.concat(F.lit("^" * ORDER), F.regexp_replace(F.lower("url"), r"[^a-z0-9\-._~/%+=&:@!,;()]", "?"), F.lit("$"))
     rows = df.select(*keys, text.alias("_t"))
     at = F.explode(F.sequence(F.lit(1), F.length("_t") - ORDER))
     return rows.select(*keys, "_t", at.alias("_at")).select(*keys, F.expr(f"substring(_t, _at, {ORDER + 1})").alias("gram"))
 
 
 def models(labelled: DataFrame) -> DataFrame:
-    """gram, ratio: log P(last character | context) accepted less rejected, for every seen gram of every order."""
-    top = _grams(labelled, ["ruled"]).groupBy("gram").agg(
-        F.count_if(F.col("ruled") == "allow").alias("a"), F.count_if(F.col("ruled") == "block").alias("b")
-    )
+    """gram, ratio: log P(last character | context) accepted less rejected, for every seen gram of every order.
+
+    labelled has url, how often it is accepted (a) and how often rejected (b).
+    """
+    top = _grams(labelled, ["a", "b"]).groupBy("gram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     top = cut(top)
     made, shorter = [], None
     for k in range(ORDER + 1):
@@ -79,7 +83,7 @@ def models(labelled: DataFrame) -> DataFrame:
             "gram", "a", "b", ((F.col("a") + BETA * pa) / (F.col("ta") + BETA)).alias("pa"), ((F.col("b") + BETA * pb) / (F.col("tb") + BETA)).alias("pb")
         )
         shorter = cut(rows)
-        made.append(shorter.where(F.col("a") + F.col("b") >= (LEAST_SEEN if k else 1)))
+        made.append(shorter)
     return reduce(DataFrame.unionByName, made).select("gram", F.log(F.col("pa") / F.col("pb")).alias("ratio"))
 
 
@@ -106,21 +110,23 @@ def scored(rows: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, rules=RULES, url: str = "url", key: str = "page_id") -> DataFrame:
-    """key, host, path, rule, verdict, score. Equal URLs are scored once."""
+    """key, host, path, rule, verdict, score for every row."""
     rows = with_rule(pages.select(F.col(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")), rules)
-    labelled = rows.where("ruled IS NOT NULL").select("host", "path", "ruled")
-    model = cut(models(labelled))
-    # Hosts and paths are scored once each and come back by key; null-safe keys are not needed, both are never null.
-    score = scored(rows, model, [key, "host", "path"])
-    score = cut(score)
-    both = with_rule(score, rules)
-    middle = both.agg(
-        F.percentile_approx(F.when(F.col("ruled") == "allow", F.col("score")), 0.5, 10_000).alias("a"),
-        F.percentile_approx(F.when(F.col("ruled") == "block", F.col("score")), 0.5, 10_000).alias("b"),
-    ).first()
-    threshold = 0.0 if middle["a"] is None or middle["b"] is None else (middle["a"] + middle["b"]) / 2
-    counted = pages.count() - both.count()
+    rows = rows.withColumn("url", F.concat("host", "path"))  # hosts have no slash, so host and path are told apart
+    urls = rows.groupBy("url").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("ruled") == "allow").alias("a"), F.count_if(F.col("ruled") == "block").alias("b"))
+    urls = cut(urls.withColumn("held", F.pmod(F.xxhash64("url"), F.lit(CALIBRATE)) == 0))
+    labelled = urls.where("a + b > 0")
+    model = cut(models(labelled.where("NOT held")))
+    score = cut(scored(urls.where("url <> ''").select("url"), model, ["url"]))
+    urls = cut(urls.join(score, "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
+
+    def middle(of: DataFrame):
+        return of.agg(F.percentile_approx(F.when(F.col("a") > 0, F.col("score")), 0.5, 10_000).alias("a"), F.percentile_approx(F.when(F.col("b") > 0, F.col("score")), 0.5, 10_000).alias("b")).first()
+
+    at = middle(urls.where("held"))
+    if at["a"] is None or at["b"] is None:
+        at = middle(urls)
+    threshold = 0.0 if at["a"] is None or at["b"] is None else (at["a"] + at["b"]) / 2
+    out = join_counted(rows, urls.select("url", "score", "_n"), "url", "_n")
     verdict = F.coalesce("ruled", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
-    if counted:  # repeated rows were scored as one; every page row gets its verdict back
-        both = rows.select(key, "host", "path", "rule", "ruled").join(score, [key, "host", "path"], "left")
-    return both.select(key, "host", "path", "rule", verdict.alias("verdict"), "score")
+    return out.select(key, "host", "path", "rule", verdict.alias("verdict"), "score")
