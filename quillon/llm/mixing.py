@@ -2,9 +2,10 @@
 
 A source with share n_s of the documents and target weight w_s gets the mean repetition rate w_s * N / n_s. Each
 document's uniform number comes from a hash of its id and the seed, and is inverted through the Poisson distribution;
-the document is exploded by the count and all copies are dealt globally by a hash of id and copy. A null source is a
-source of its own; empty tables give empty results; rows that repeat an id repeat its draw. Columns in the way of the
-helper columns keep their values: helpers start with `_mx_`.
+the document is exploded by the count and all copies are dealt globally by a hash of id and copy: the hash is uniform, so its
+first digits name the partition and nothing is sampled. A null source is a source of its own; empty tables give empty
+results; rows that repeat an id repeat its draw, and rows without an id draw by their whole contents. Columns in the way
+of the helper columns keep their values: helpers start with `_mx_`.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups
+from .common import SMALL_ROWS, join_groups
 
 TWO52 = float(1 << 52)
+SMALL_CELLS = 2_000_000  # numbers that the table of all sources' distributions may have to be broadcast
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -53,14 +55,18 @@ def poisson_cdf(rate: Column) -> Column:
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, seed: int = 42, source: str = "source", key: str = "doc_id", keep: bool = False) -> DataFrame:
     """Documents repeated to the target weights, in global hash order; with keep, columns copy, rate and shuffle_key."""
-    cdf = rates(docs, source, weights, power).withColumn("_mx_cdf", poisson_cdf(F.col("_mx_rate")))
-    rows = join_groups(docs.withColumn("_mx_source", F.col(source)), cdf, ["_mx_source"])
-    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    rate = rates(docs, source, weights, power)
+    cdf = rate.withColumn("_mx_cdf", poisson_cdf(F.col("_mx_rate")))
+    cells = rate.agg(F.sum(F.col("_mx_rate") + 12 * F.sqrt("_mx_rate") + 40)).first()[0] or 0
+    rows = join_groups(docs.withColumn("_mx_source", F.col(source)), cdf, ["_mx_source"], most=SMALL_ROWS if cells <= SMALL_CELLS else 0)
+    name = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("row/"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
     rows = rows.withColumn("_mx_u", uniform(name, seed))
     rows = rows.withColumn("_mx_k", F.size(F.filter("_mx_cdf", lambda c: c < F.col("_mx_u")))).where("_mx_k > 0")
     rows = rows.withColumn("_mx_copy", F.explode(F.sequence(F.lit(0), F.col("_mx_k") - 1)))
     rows = rows.withColumn("_mx_key", F.md5(F.concat(F.lit(f"{seed}/"), name, F.lit("/"), F.col("_mx_copy").cast("string"))))
-    rows = rows.orderBy("_mx_key")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.floor(F.conv(F.substring("_mx_key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) * parts).cast("int")
+    rows = rows.repartitionById(parts, place).sortWithinPartitions("_mx_key")
     extra = [F.col("_mx_copy").alias("copy"), F.col("_mx_key").alias("shuffle_key")] if keep else []
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], *extra)
 
@@ -69,7 +75,7 @@ MIX_SQL = """
 WITH n AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source),
 r AS (SELECT source, pow(n, 0.5) / sum(pow(n, 0.5)) OVER () * sum(n) OVER () / n AS rate FROM n),
 p AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
-      FROM r, (SELECT unnest(range(0, 400))::DOUBLE AS k) WHERE k <= ceil(rate + 12 * sqrt(rate) + 40)),
+      FROM (SELECT *, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 40)::BIGINT + 1))::DOUBLE AS k FROM r)),
 u AS (SELECT *, (('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM documents),
 k AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, (SELECT count(*) FROM p WHERE p.source IS NOT DISTINCT FROM u.source AND p.c < u.u) AS k FROM u)
 SELECT doc_id, text, lang, source, n_chars, copy::INTEGER AS copy,
