@@ -1,8 +1,11 @@
 """Main text of raw pages by tree scoring.
 
-Paragraphs pass points (length, commas, discounted by link density) to their ancestors; the best container is kept
-with the siblings that score near it. Null or empty html gives an empty string; unclosed tags close where their
-block does; repeated rows each give their own result.
+Paragraphs pass points (length, commas, discounted by link density) to their ancestors; the best container is kept with
+the siblings that score near it. Where an article or main element encloses the best container, that element is the
+container: it is how pages mark their text, and headings or short paragraphs outside the best part of it are kept so. Its
+siblings then are elements of the same name. Containers named as menus, notices, comments and the like are left out, but
+not one that merely says `with-sidebar` or holds the page's article. Null or empty html gives an empty string; unclosed
+tags close where their block does, raw ones at the end; repeated rows each give their own result. Time is linear in the page.
 """
 
 from __future__ import annotations
@@ -15,16 +18,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+# A quoted value may hold >; nothing is tried twice, so broken tags cost no more than whole ones.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>")
+_ATTR = re.compile(r"([a-zA-Z-]+)\s*+(?:=\s*+(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _SPACE = re.compile(r"\s+")
-_RAW = frozenset("script style textarea title noscript template iframe xmp svg math object select".split())
+_RAW = frozenset("script style textarea title iframe xmp".split())  # their text is no markup
+_ISLANDS = frozenset("svg math select".split())  # blocks in them end them
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_GONE = _RAW | frozenset("head nav header footer aside form button menu dialog canvas audio video label fieldset".split())
+_GONE = _RAW | _ISLANDS | frozenset("noscript template object head nav header footer aside form button menu dialog canvas audio video label fieldset".split())
 _BLOCK = frozenset(
     "p div article section main body html h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption address hr center details summary".split()
 ) | _GONE
-_CLOSES_P = _BLOCK - {"head", "label", "button"} - _RAW
+_CLOSES_P = _BLOCK - {"head", "label", "button", "noscript", "template", "object"} - _RAW - _ISLANDS
 _ITEM = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _ITEM_END = frozenset("ul ol dl table".split())
 _NOISE = frozenset(
@@ -33,79 +38,134 @@ _NOISE = frozenset(
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 _PARAGRAPH = frozenset("p pre td blockquote li dd dt h1 h2 h3 h4 h5 h6 div section article main".split())
 SIBLING_SHARE = 0.2
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "kids", "score", "gone", "links")
+    __slots__ = ("tag", "parent", "kids", "score", "gone")
 
     def __init__(self, tag: str, parent: _Node | None, gone: bool = False):
         self.tag, self.parent, self.kids, self.score, self.gone = tag, parent, [], 0.0, gone
 
 
-def _noisy(attrs: str) -> bool:
+_REMARKS = frozenset("comment comments commentlist disqus reply replies respond".split())
+_COMPOUND = re.compile(r"(?:with|has|no|without)[-_](\S+)")
+
+
+def _noisy(attrs: str) -> str:
+    """Why an element is left out: "remarks", "noise" or nothing."""
     if not attrs or attrs.isspace():
-        return False
+        return ""
+    found = ""
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and not _NOISE.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
-        if name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+        if name in ("class", "id"):
+            words = set(re.split(r"[^a-z0-9]+", _COMPOUND.sub(" ", value)))
+            if words & _NOISE:
+                found = "remarks" if words & _REMARKS else found or "noise"
+        elif name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+            found = "remarks"
+        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            found = "remarks"
+    return found
+
+
+class _Tree:
+    """Open elements, with the places of each name, so that every tag finds its partner at once."""
+
+    def __init__(self):
+        self.root = _Node("html", None)
+        self.open = [self.root]
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.noise: list[int] = []  # places of open elements that are left out for their names
+
+    def last(self, names) -> int:
+        return max((self.where[n][-1] for n in names if self.where.get(n)), default=0)
+
+    def down(self, node: _Node) -> None:
+        self.where.setdefault(node.tag, []).append(len(self.open))
+        if node.tag in _BLOCK:
+            self.blocks.append(len(self.open))
+        self.open.append(node)
+
+    def up(self, place: int) -> None:
+        """Closes the element at a place and all in it."""
+        while len(self.open) > place:
+            node = self.open.pop()
+            self.where[node.tag].pop()
+            if node.tag in _BLOCK:
+                self.blocks.pop()
+        while self.noise and self.noise[-1] >= place:
+            self.noise.pop()
+
+    def begin(self, tag: str, attrs: str) -> None:
+        if tag in _CLOSES_P:
+            island = self.last(_ISLANDS)
+            if island:
+                self.up(island)
+            if self.blocks and self.open[self.blocks[-1]].tag == "p":
+                self.up(self.blocks[-1])
+        if tag in _ITEM:
+            place = self.last(_ITEM[tag])
+            if place > self.last(_ITEM_END):
+                while self.open[place - 1].tag in _ITEM[tag]:
+                    place -= 1
+                self.up(place)
+        why = "tag" if tag in _GONE else _noisy(attrs)
+        node = _Node(tag, self.open[-1], bool(why))
+        self.open[-1].kids.append(node)
+        if tag in ("article", "main") and not why:
+            while self.noise:  # a holder of the article is no menu, whatever it is called
+                self.open[self.noise.pop()].gone = False
+        if tag not in _VOID and tag not in _RAW and not attrs.endswith("/"):
+            if why == "noise":
+                self.noise.append(len(self.open))
+            self.down(node)
+
+    def end(self, tag: str) -> None:
+        place = self.last((tag,))
+        if place and (tag in _BLOCK or not self.blocks or place > self.blocks[-1]):
+            self.up(place)
 
 
 def _parse(source: str) -> _Node:
-    root = node = _Node("html", None)
-    at = 0
-    end = len(source)
-    while at < end:
-        m = _TOKEN.search(source, at)
-        if m is None:
-            node.kids.append(source[at:])
-            break
-        if m.start() > at:
-            node.kids.append(source[at : m.start()])
-        at = m.end()
-        tag = m.group(2)
-        if tag is None:
+    tree = _Tree()
+    at, end, closing = 0, len(source), source.rfind(">")
+    text = 0  # where the text not yet taken begins
+    endless: set[str] = set()
+    while (at := source.find("<", at, closing + 1)) >= 0:
+        if source.startswith("<!--", at):
+            stop = source.find("-->", at + 4)
+            stop, m = (end if stop < 0 else stop + 3), None
+        elif source.startswith(("<!", "<?"), at):
+            stop, m = source.find(">", at) + 1, None
+        elif m := _TAG.match(source, at):
+            stop = m.end()
+        else:
+            at += 1
             continue
-        tag = tag.lower()
-        if m.group(1):
-            up = node
-            while up is not None and up.tag != tag:
-                if tag not in _BLOCK and up.tag in _BLOCK:
-                    up = None
-                    break
-                up = up.parent
-            if up is not None and up.parent is not None:
-                node = up.parent
+        if at > text:
+            tree.open[-1].kids.append(source[text:at])
+        text = at = stop
+        if m is None or m.group(2).lower() in ("html", "body"):
             continue
-        if tag in ("html", "body"):
+        tag = m.group(2).lower()
+        if m.group(1):
+            tree.end(tag)
             continue
-        if tag in _CLOSES_P:
-            up = node
-            while up is not None and up.tag != "p" and up.tag not in _BLOCK:
-                up = up.parent
-            if up is not None and up.tag == "p":
-                node = up.parent
-        if tag in _ITEM:
-            up = node
-            while up is not None and up.tag not in _ITEM[tag] and up.tag not in _ITEM_END:
-                up = up.parent
-            if up is not None and up.tag in _ITEM[tag]:
-                while up.parent.tag in _ITEM[tag]:
-                    up = up.parent
-                node = up.parent
-        child = _Node(tag, node, tag in _GONE or _noisy(m.group(3)))
-        node.kids.append(child)
+        tree.begin(tag, m.group(3) or "")
         if tag in _RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-            at = close.end() if close else end
-        elif tag not in _VOID and not (m.group(3) or "").endswith("/"):
-            node = child
-    return root
+            close = None if tag in endless else _RAW_END[tag].search(source, at)
+            if close:
+                text = at = close.end()
+            elif tag != "iframe" and not m.group(3).endswith("/"):
+                text = at = end
+            else:
+                endless.add(tag)
+    if end > text:
+        tree.open[-1].kids.append(source[text:])
+    return tree.root
 
 
 def _blocks(top: _Node) -> list[tuple[_Node, str, int]]:
@@ -175,6 +235,10 @@ def extract(source: str | None) -> str:
         article = article.parent
     if article is not None:
         keep = {id(article)}
+        if article.parent is not None:
+            for kid in article.parent.kids:
+                if isinstance(kid, _Node) and kid.tag == article.tag and not kid.gone and kid.score >= max(SIBLING_SHARE * article.score, 1):
+                    keep.add(id(kid))
     else:
         keep = {id(best)}
         if best.parent is not None:
