@@ -1,8 +1,10 @@
 """Quality classifier: attention-based multiple-instance learning.
 
 Every passage of a text is encoded from its bytes; gated attention, learned from document labels, weighs the passages,
-and a logistic layer scores the weighted mean. Null, empty and white texts are one empty passage. The model is fitted
-on the driver on at most FIT_DOCS labelled texts (those of smallest hash), and scores every text in whole.
+and a logistic layer scores the weighted mean. Null and empty texts are one empty passage. The model is fitted on the
+driver on at most FIT_DOCS labelled texts of at most FIT_BYTES (those of smallest hash), and scores every text in whole.
+Contradicting labels of an id average; repeated rows of an id count as often as they stand; labels without an id or a
+quality are not used; without labels every score is one half.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import crc_of_id
 
 FIT_DOCS = 4000
+FIT_BYTES = 1 << 17
 PASSAGE = 512
 HASHED = 128
 DIMS = 256 + HASHED + 3
@@ -114,8 +117,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     if share < 1:
         marks = marks.where(F.pmod("_h", F.lit(1_000_003)) < int(share * 1_000_003))
     chosen = marks.orderBy("_h").limit(FIT_DOCS)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(FIT_DOCS)
-    data = rows.toPandas().sort_values(["_h", "text"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES)
+    data = rows.orderBy("_h", "text").limit(FIT_DOCS).toPandas()
     bags = [passages(t) for t in data["text"]]
     return fit(bags, data["_y"].to_numpy(dtype=float))
 
