@@ -225,8 +225,8 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     return ids
 
 
-def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 0, length: int = LENGTH) -> DataFrame:
-    """One row per piece: key, row (a number of the document's own row), piece, start, length, ids_crc32."""
+def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end_id: int = 0, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
+    """One row per piece: key, row (a number of the document's own row), piece, start, length, ids_crc32; with keep_ids the ids, four bytes each."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,20 +238,34 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text
                 first = len(ids) % length or length
                 start = 0
                 for piece, stop in enumerate(range(first, len(ids) + 1, length)):
-                    rows.append((k, n, piece, start, stop - start, zlib.crc32(ids[start:stop].tobytes())))
+                    data = ids[start:stop].tobytes()
+                    rows.append((k, n, piece, start, stop - start, zlib.crc32(data), *[data] * keep_ids))
                     start = stop
-            yield pd.DataFrame(rows, columns=[key, "row", "piece", "start", "length", "ids_crc32"])
+            yield pd.DataFrame(rows, columns=[key, "row", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.monotonically_increasing_id().alias("_row"))
-    return rows.mapInPandas(run, f"{key} {kind}, row long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInPandas(run, f"{key} {kind}, row long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """Pieces with sequence_id and offset. Tokens are made once; only the numbers of pieces are dealt on."""
-    pieces = cut(tokenized(docs, path, key, text, length=length))
+    return placed(cut(tokenized(docs, path, key, text, length=length)), key, length).drop("row")
+
+
+def packed_sequences(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """The sequences themselves: sequence_id, ids (four bytes each, little-endian) and the pieces in them, in order."""
+    pieces = cut(tokenized(docs, path, key, text, length=length, keep_ids=True))
+    rows = placed(pieces.drop("ids"), key, length).join(pieces.select("row", "piece", "ids"), ["row", "piece"])
+    held = rows.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", key, "piece", "ids"))).alias("_h"))  # at most `length` pieces
+    ids = F.aggregate("_h", F.lit(b"").cast("binary"), lambda acc, h: F.concat(acc, h["ids"]))
+    return held.select("sequence_id", ids.alias("ids"), F.transform("_h", lambda h: F.struct(h[key].alias(key), h["piece"].alias("piece"), h["offset"].alias("offset"))).alias("pieces"))
+
+
+def placed(pieces: DataFrame, key: str, length: int) -> DataFrame:
+    """Pieces (key, row, piece, start, length, ids_crc32) with sequence_id and offset."""
     n = pieces.count()
     blocks = max(1, -(-n // BLOCK_PIECES))
-    kind = docs.schema[key].dataType.simpleString()
+    kind = pieces.schema[key].dataType.simpleString()
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "row", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
@@ -268,7 +282,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
                 at += sizes[i]
         frame["sequence_id"] = int(frame["_block"].iloc[0]) * (1 << 32) + seq if len(frame) else seq
         frame["offset"] = off
-        return frame[[key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+        return frame[[key, "row", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
 
     dealt = pieces.withColumn("_block", F.pmod(F.xxhash64("row", "piece"), F.lit(blocks)))
-    return dealt.groupBy("_block").applyInPandas(run, f"{key} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return dealt.groupBy("_block").applyInPandas(run, f"{key} {kind}, row long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
