@@ -1,18 +1,17 @@
 """The corpus pipeline: classifier, quality rules, near duplicates, mixing, packing.
 
-Each stage reads what its predecessor kept. Null texts count as empty; the stages keep the columns of documents until
-the last, which returns packed pieces.
+Each stage reads what its predecessor kept and wrote. Null texts count as empty; the stages keep the columns of documents
+until the last, which returns packed pieces. SQL can express the mixing alone, so there is none for the whole.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import table
+from quillon.llm.common import shared_folder, table
 from quillon.llm.mixing import mix
 from quillon.llm.ngram_join import near_groups
 from quillon.llm.packing import pack
@@ -24,18 +23,26 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.7 or more; it is fitted on the labelled rows among docs, outside the held-out fold."""
     model = train(docs, table(spark, sf_dir, "labels"))
     return score(docs.select(*COLUMNS), model, out="_score").where("_score >= 0.7").select(*COLUMNS)
 
 
 def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    kept = judge(docs.select("doc_id", "text", "lang", "source")).where("kept").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """Documents that the rules keep. A verdict depends on text, language and source, so rows are matched on these (the text by
+    hash) as well as on the id: rows of one id, or without an id, get their own verdicts."""
+    keys = ["doc_id", "_mark", "lang", "source"]
+    docs = docs.select(*COLUMNS).withColumn("_mark", F.xxhash64("text"))
+    kept = judge(docs.select("text", *keys)).where("kept").select(*[F.col(k).alias(f"_k{k}") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{k}"))
+    return docs.join(kept, same, "left_semi").select(*COLUMNS)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; rows without an id stay where nothing with one is like them."""
+    """The document with the smallest id of each group of near duplicates (five words, 0.8) stays, of equal rows one. Rows without
+    an id stay where nothing with one is like them."""
     docs = docs.select(*COLUMNS)
     groups = near_groups(docs.select("doc_id", "text"), n=5, percent=80)
     first = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
@@ -43,10 +50,12 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated towards equal roots of their sources' counts, in global hash order."""
     return mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their places in sequences."""
     return pack(docs.select("doc_id", "text"), tokenizer_path())
 
 
@@ -62,11 +71,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillon-")
-    base = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages one after the other; a stage's folder goes when the next one is written."""
+    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = f"{base}/stage{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(last)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        last = path
     return docs
