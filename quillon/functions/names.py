@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
-AUDIO_EXTENSIONS = ("mp3", "flac", "wav", "ogg", "m4a", "aac", "wma", "opus", "aiff", "alac")
+AUDIO_EXTENSIONS = ("mp3", "flac", "wav", "ogg", "m4a", "alac", "aac", "wma", "opus", "aiff")
 PER_VOLUME = 50
 NAME_BYTES = 32
 
@@ -16,7 +16,7 @@ def null_if_empty(c: Column) -> Column:
 
 
 def extension(name: Column) -> Column:
-    return F.lower(F.regexp_extract(name, r"^.+\.([^.]*)$", 1))
+    return F.lower(F.regexp_extract(name, r"^(?s:.+)\.([^.]*)\z", 1))
 
 
 def hash8(sha: Column) -> Column:
@@ -57,6 +57,12 @@ def filename_problem(name: Column) -> Column:
     )
 
 
+def hash8_or_zeros(sha: Column) -> Column:
+    """The first eight hex digits of a hash, whatever its length; zeros where there are fewer."""
+    short = hash8(sha)
+    return F.when(F.length(short) == 8, short).otherwise("00000000")
+
+
 def is_sha256(c: Column) -> Column:
     return c.rlike(r"^[0-9a-fA-F]{64}\z")
 
@@ -82,12 +88,11 @@ def hashed_name(stem: Column, index: Column, sha: Column) -> Column:
     prefix = F.format_string("%04d_", index)
     room = F.lit(NAME_BYTES - 13) - F.length(prefix)
     padded = F.concat(stem, F.repeat(F.lit("_"), F.lit(NAME_BYTES))).substr(F.lit(1), room)
-    digest = F.when(is_sha256(sha), hash8(sha)).otherwise("00000000")
-    return F.concat(prefix, padded, F.lit("_"), digest, F.lit(".mp3"))
+    return F.concat(prefix, padded, F.lit("_"), hash8_or_zeros(sha), F.lit(".mp3"))
 
 
 def parent_device(name: Column) -> Column:
-    return F.when(name.rlike("^(nvme|mmcblk)"), F.regexp_replace(name, r"p[^p]*$", "")).otherwise(F.regexp_replace(name, "[0-9]+$", ""))
+    return F.when(name.rlike("^(nvme|mmcblk)"), F.regexp_replace(name, r"p[^p]*\z", "")).otherwise(F.regexp_replace(name, r"[0-9]+\z", ""))
 
 
 def fat_label(label: Column) -> Column:
@@ -100,11 +105,17 @@ def planned_volume(row: Column, first: int = 1, filled: int = 0) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key: digit runs compare by value, other characters without case."""
-    marked = F.regexp_replace(F.lower(name), "([0-9]+)", "\u0001$1\u0001")
-    parts = F.split(marked, "\u0001")
-    coded = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+$"), F.concat(F.format_string("%06d", F.length(F.regexp_replace(p, "^0+", ""))), F.regexp_replace(p, "^0+", ""))).otherwise(p))
-    return F.concat_ws("\u0001", coded)
+    """Sort key of natural order: A-Z without case, digit runs by value, then by their length with zeros.
+
+    Every run is written as 0, the length of its digits, the digits and its length, so against other characters it compares as a digit does.
+    """
+    low = F.translate(name, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def coded(run: Column) -> Column:
+        digits = F.coalesce(null_if_empty(F.regexp_replace(run, "^0+", "")), F.lit("0"))
+        return F.when(run.rlike("^[0-9]"), F.concat(F.lit("0"), F.format_string("%04d", F.length(digits)), digits, F.format_string("%04d", F.length(run)))).otherwise(run)
+
+    return F.array_join(F.transform(F.regexp_extract_all(low, F.lit("([0-9]+|[^0-9]+)"), F.lit(1)), coded), "")
 
 
 def media_decision(codec: Column, rate: Column, bits: Column, dirty: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import names as N
+from quillon.operators.shared import cut
 
 
 def sync_diff(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -15,7 +16,7 @@ def sync_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     """
     target = target.withColumn("compliant", N.volume_index(F.col("folder")).isNotNull() & N.lenient_index(F.col("name")).isNotNull() & N.safe_name(F.col("name")))
     short = target.where("compliant").select(N.hash8_of_name(F.col("name")).alias("h8")).where("h8 IS NOT NULL").groupBy("h8").agg(F.lit(True).alias("held"))
-    whole = target.where("NOT compliant").groupBy("sha").agg(F.min("path").alias("displaced_from"))
+    whole = target.where("NOT compliant").groupBy("sha").agg(F.min_by("path", F.struct(F.split("path", "/"), "path")).alias("displaced_from"))
     rows = source.withColumn("h8", N.hash8(F.col("sha"))).join(short, "h8", "left").join(whole, "sha", "left")
     action = F.when(F.col("held"), "skip").when(F.col("displaced_from").isNotNull(), "displaced").otherwise("new")
     rows = rows.select("path", action.alias("action"), F.when(F.col("held").isNull(), F.col("displaced_from")).alias("displaced_from"))
@@ -25,18 +26,37 @@ def sync_diff(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def numbered(files: DataFrame, order: list[Column], start: int = 1, out: str = "idx") -> DataFrame:
-    """Global numbers in order, without one task for all rows: ranges are sorted apart and offset by their counts."""
-    spread = files.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    local = spread.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    sizes = local.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    base = sizes.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return local.join(F.broadcast(base.drop("_c")), "_p").withColumn(out, (F.col("_b") + F.col("_r") + start - 1).cast("long")).drop("_p", "_r", "_b")
+    """Global numbers in order, without one task for all rows: ranges are sorted apart, kept, and offset by their counts.
+
+    The sorted rows are kept before they are counted, so counts and rows come from the same ranges. Rows that are equal in
+    order get different numbers.
+    """
+    place = F.monotonically_increasing_id()  # the range in the upper bits, the row's place in it in the lower 33
+    kept = cut(files.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", place))
+    sizes = kept.groupBy(F.shiftright("_at", 33).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
+    number = F.col("_b") + F.col("_at").bitwiseAND((1 << 33) - 1) + start
+    return kept.join(F.broadcast(base), F.shiftright("_at", 33) == F.col("_q")).withColumn(out, number.cast("long")).drop("_at", "_q", "_b")
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[str], out: str = "rank") -> DataFrame:
+    """Numbers from 1 within each key, by global numbers, so that no key's rows are one task's."""
+    whole = numbered(rows, [F.col(c) for c in (*keys, *order)], 0, "_g")
+    first = whole.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_g").alias("_first"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return whole.join(first, same).withColumn(out, F.col("_g") - F.col("_first") + 1).drop("_g", "_first", *[f"_k{i}" for i in range(len(keys))])
 
 
 def mismatch_runs(checks: DataFrame, least: int = 5) -> DataFrame:
-    """Runs of at least `least` mismatches in index order; a match ends a run. checks: device, idx, ok."""
-    island = F.sum(F.col("ok").cast("int")).over(Window.partitionBy("device").orderBy("idx"))
-    runs = checks.withColumn("island", island).where("NOT ok").groupBy("device", "island")
+    """Runs of at least `least` mismatches in index order; a match ends a run. checks: device, idx, ok.
+
+    The number among all rows less the number among mismatches is the same throughout a run, and only there.
+    """
+    bad = numbered(checks, [F.col("device"), F.col("idx")], 0, "_all").where("NOT ok")
+    runs = numbered(bad, [F.col("device"), F.col("idx")], 0, "_bad").groupBy("device", (F.col("_all") - F.col("_bad")).alias("island"))
     return runs.agg(F.count(F.lit(1)).alias("run"), F.min("idx").alias("first_idx")).where(F.col("run") >= least).drop("island")
 
 

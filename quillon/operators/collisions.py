@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.catalog import ranked
+
 _TAIL = r"(_[0-9]{3,})+(\.[^.]*)?\z"
 
 
@@ -16,28 +18,61 @@ def family(name: Column) -> Column:
     return F.regexp_replace(name, _TAIL, "$2")
 
 
+def _suffixed(name: str, k: int, form: str) -> str:
+    m = re.fullmatch(r"(.+?)(\.[^.]*)?", name, re.S)
+    stem, ext = m.groups() if m else (name, "")
+    return f"{stem}_{form.format(k)}{ext or ''}"
+
+
 def resolve(files: DataFrame, name: str = "name", order: str = "seq", out: str = "resolved") -> DataFrame:
-    """Adds `out`: the name, or the first free name_NNN; generated names occupy the space too. Null names stay null."""
+    """Adds `out`: the name, or the first free name_NNN; generated names occupy the space too. Null names stay null.
+
+    Families in which every name is the same need no search: the rows are numbered in order, whatever their number. Only
+    families that also hold names with such suffixes of their own are worked through one after the other.
+    """
+    rows = files.withColumn("_family", family(F.col(name)))
+    mixed = rows.where(F.col(name) != F.col("_family")).select("_family").distinct()
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(order, kind="stable")
-        used: set[str] = set()
-        following: dict[str, int] = {}
-        made = []
-        for n in frame[name]:
-            if n is None or n != n:
-                made.append(None)
-                continue
-            got = n
-            if got in used:
-                stem, ext = re.fullmatch(r"(.+?)(\.[^.]*)?", n, re.S).groups()
-                k = following.get(n, 1)
-                while (got := f"{stem}_{k:03d}{ext or ''}") in used:
-                    k += 1
-                following[n] = k + 1
-            used.add(got)
-            made.append(got)
-        return frame.drop(columns="_family").assign(**{out: made})
+        return frame.drop(columns="_family").assign(**{out: greedy(list(frame[name]), set(), "{:03d}")})
+
+    searched = rows.join(mixed, "_family", "left_semi").groupBy("_family").applyInPandas(run, f"{kinds}, `{out}` string")
+    plain = ranked(rows.join(mixed, "_family", "left_anti").drop("_family"), [name], [order], "_k")
+    dot = F.regexp_extract(F.col(name), r"(?s)^.+(\.[^.]*)\z", 1)
+    stem = F.col(name).substr(F.lit(1), F.length(name) - F.length(dot))
+    numbered = F.concat(stem, F.format_string("_%03d", F.col("_k") - 1), dot)
+    plain = plain.withColumn(out, F.when(F.col("_k") == 1, F.col(name)).otherwise(numbered)).drop("_k")
+    return searched.unionByName(plain)
 
+
+def greedy(names: list, used: set[str], form: str) -> list:
+    """Each name, or the first free one with a suffix, in the order of arrival."""
+    following: dict[str, int] = {}
+    made = []
+    for n in names:
+        if n is None or n != n:
+            made.append(None)
+            continue
+        got, k = n, following.get(n, 1)
+        while got in used:
+            got, k = _suffixed(n, k, form), k + 1
+        following[n] = k
+        used.add(got)
+        made.append(got)
+    return made
+
+
+def beside(files: DataFrame, existing: DataFrame, name: str = "name", order: str = "seq", out: str = "resolved") -> DataFrame:
+    """Adds `out`: the name, or the first name_N that neither stands in existing (name) nor was given before."""
+    tail = r"(_[0-9]+)+(\.[^.]*)?\z"
+    rows = files.withColumn("_family", F.regexp_replace(F.col(name), tail, "$2"))
+    there = existing.select(F.col(name).alias("_there")).distinct().withColumn("_family", F.regexp_replace("_there", tail, "$2"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
-    return files.withColumn("_family", family(F.col(name))).groupBy("_family").applyInPandas(run, f"{kinds}, `{out}` string")
+
+    def run(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        new = new.sort_values(order, kind="stable")
+        return new.drop(columns="_family").assign(**{out: greedy(list(new[name]), set(old["_there"]), "{}")})
+
+    return rows.groupBy("_family").cogroup(there.groupBy("_family")).applyInPandas(run, f"{kinds}, `{out}` string")

@@ -6,7 +6,7 @@ third document is already held on the target under a complying name, every seven
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import names as N
@@ -120,10 +120,10 @@ def journal_state(spark, sf_dir):
     return C.last_state(events, "user_id", "event_id", "s")
 
 
-@query(f"SELECT count(*) AS total, count(*) FILTER (s = 'committed') AS committed, count(*) FILTER (s = 'pending') AS pending, count(*) FILTER (s = 'failed') AS failed, bool_and(s = 'committed') AS all_committed FROM (SELECT {_STATE} AS s FROM events)")
+@query(f"SELECT count(*) AS total, count(*) FILTER (s = 'committed') AS committed, count(*) FILTER (s = 'pending') AS pending, count(*) FILTER (s = 'failed') AS failed, count(*) > 0 AND coalesce(bool_and(s = 'committed'), false) AS all_committed FROM (SELECT {_STATE} AS s FROM events)")
 def journal_summary(spark, sf_dir):
     s = _t(spark, sf_dir, "events").select(F.expr(_STATE).alias("s"))
-    return s.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("s") == k).alias(k) for k in ("committed", "pending", "failed")], F.bool_and(F.col("s") == "committed").alias("all_committed"))
+    return s.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col("s") == k).alias(k) for k in ("committed", "pending", "failed")], F.coalesce(F.bool_and(F.col("s") == "committed"), F.lit(False)).alias("all_committed"))
 
 
 @query("SELECT s_suppkey, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '_', 'g'), '_') || '_' || substr(sha256(s_name), 1, 8) AS slug, substr(upper(regexp_replace(s_name, '[^A-Za-z0-9_]', '', 'g')), 1, 11) AS label FROM supplier")
@@ -160,9 +160,9 @@ def recovery_indices(spark, sf_dir):
 
 @query("SELECT user_id, event_id, 100.0 * row_number() OVER w / count(*) OVER (PARTITION BY user_id) AS percentage FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def running_progress(spark, sf_dir):
-    w = Window.partitionBy("user_id")
-    share = F.lit(100.0) * F.row_number().over(w.orderBy("event_id")) / F.count(F.lit(1)).over(w)
-    return _t(spark, sf_dir, "events").select("user_id", "event_id", share.alias("percentage"))
+    events = _t(spark, sf_dir, "events").select("user_id", "event_id")
+    rows = C.ranked(events, ["user_id"], ["event_id"]).join(events.groupBy("user_id").agg(F.count(F.lit(1)).alias("total")), "user_id")
+    return rows.select("user_id", "event_id", (F.lit(100.0) * F.col("rank") / F.col("total")).alias("percentage"))
 
 
 @query("""WITH o AS (SELECT o_orderkey AS seq, lower(o_orderpriority) || '.mp3' AS name FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq) - 1 AS k FROM o)

@@ -21,6 +21,8 @@ def test_names(spark):
 
 def test_natural_order(spark):
     rows = spark.createDataFrame([(n,) for n in ["10.mp3", "2.mp3", "A11.mp3", "a2.mp3"]], "v string")
+    odd = spark.createDataFrame([(n,) for n in ["a1.mp3", "a 1.mp3", "a!b.mp3", "a-2.mp3", "a01.mp3", "a001.mp3", "ab.mp3", "", "Ñ1"]], "v string")
+    assert [r.v for r in odd.orderBy(N.natural_key(F.col("v"))).collect()] == ["", "a 1.mp3", "a!b.mp3", "a-2.mp3", "a1.mp3", "a01.mp3", "a001.mp3", "ab.mp3", "Ñ1"]
     assert [r.v for r in rows.orderBy(N.natural_key(F.col("v"))).collect()] == ["2.mp3", "10.mp3", "a2.mp3", "A11.mp3"]
 
 
@@ -33,6 +35,24 @@ def test_sync_diff(spark):
     assert {(r.path, r.action) for r in C.sync_diff(source, target).collect()} == {("a", "skip"), ("b", "displaced"), ("c", "new"), ("m/z", "untracked")}
 
 
+def test_numbered_keeps_every_row_of_a_wide_table(spark):
+    n = 2_000_000
+    rows = spark.range(n).select(F.xxhash64("id").alias("key"), F.repeat(F.col("id").cast("string"), 8).alias("wide"))
+    got = C.numbered(rows, [F.col("key")])
+    assert tuple(got.agg(F.count("idx"), F.count_distinct("idx"), F.min("idx"), F.max("idx")).first()) == (n, n, 1, n)
+    pairs = got.select("key", "idx").where("idx % 1000 < 2").orderBy("idx").collect()
+    assert all(a.key <= b.key for a, b in zip(pairs, pairs[1:]))
+
+
+def test_numbers_within_keys_and_runs(spark):
+    rows = spark.createDataFrame([(k, i) for k in ("a", None, "b") for i in range(50)], "k string, i long")
+    assert all(r["rank"] == r.i + 1 for r in C.ranked(rows, ["k"], ["i"]).collect())
+    ok = [True, False, False, True, False, False, False, False, False, True]
+    checks = spark.createDataFrame([(d, i, o) for d in (1, 2) for i, o in enumerate(ok)], "device long, idx long, ok boolean")
+    assert sorted(map(tuple, C.mismatch_runs(checks, 2).collect())) == [(1, 2, 1), (1, 5, 4), (2, 2, 1), (2, 5, 4)]
+    assert C.mismatch_runs(checks.where("false")).count() == 0
+
+
 def test_numbered(spark):
     rows = C.numbered(spark.range(100), [F.col("id")], 5).orderBy("id").collect()
     assert [r.idx for r in rows] == list(range(5, 105))
@@ -43,8 +63,10 @@ def test_oracle(spark):
     import glob
     import os
 
+    import quillon.plans.library_queries  # noqa: F401  registers its queries
     from quillon.plans.catalog_queries import ORACLE_SQL, QUERIES
 
+    assert len(ORACLE_SQL) == len(QUERIES)
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
     for f in glob.glob(d + "/*.parquet"):
