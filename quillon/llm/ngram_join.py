@@ -3,7 +3,8 @@
 Equal sets are one class. Shingles are ordered by a sketch of their counts, then by hash, rare ones first. Two sets of a and
 b shingles link from T common ones on, T depending on both sizes. As DivideSkip does, the lists of a pair are divided: its
 short lists, the first a - T + k and b - T + k shingles, are merged, and the pair is dropped unless it is found in k of them;
-the other, long lists are not merged but probed by binary search. Who meets in a short list at all (k = 1) is found by Spark's
+the other, long lists are not merged but probed by binary search. Before any set travels, PARITY bits of each, one for the
+oddness of every residue class of its shingles, bound the pair's overlap from above. Who meets in a short list at all (k = 1) is found by Spark's
 sort-merge joins of the lists, in place of one machine's heap; merging on, up to k, and probing are done pair by pair, a
 set beside its partners.
 
@@ -33,6 +34,7 @@ SKETCH_BLOCKS = 64
 BLOCK = 1 << 20  # bytes of text whose words are hashed at once
 MEMBERS = 128  # sets verified against one copy of a leader
 MERGED = 8  # one in so many of the shingles that a pair must share is to be among its short lists
+PARITY = 512  # bits; the sets differ in as many shingles at least as in bits
 STAR = 2  # short lists that a set shares with its leader at least
 _GAP = np.zeros(256, dtype=bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
@@ -157,6 +159,12 @@ def _sketch(docs: DataFrame, n: int) -> np.ndarray:
     return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
+def parity(s: np.ndarray) -> list[int]:
+    """PARITY bits as 64-bit numbers: whether an odd number of shingles falls into each class."""
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _ranked(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
     """The sorted set in the order of lists, short ones first; ties stay in the order of hashes."""
     return s[np.argsort(sketch[(s & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")]
@@ -167,22 +175,23 @@ def _sig(s: np.ndarray) -> bytes | None:
 
 
 def _short_lists(docs: DataFrame, sketch, n: int, percent: int) -> DataFrame:
-    """key, mark (of the text), sig, size and tokens of every row: the short lists it can need with any partner."""
+    """key, mark (of the text), sig, size, bits and tokens of every row: the short lists it can need with any partner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches, "text"):
-            sigs, sizes, lists = [], [], []
+            sigs, sizes, lists, bits = [], [], [], []
             for s in distinct_shingles(batch.column("text"), n):
                 short = len(s) + percent * len(s) // -100 + 1
                 sigs.append(_sig(s))
                 sizes.append(len(s))
+                bits.append(parity(s))
                 lists.append(_ranked(s, sketch.value)[:short].view(np.int64))
             at = np.cumsum([0, *map(len, lists)]).astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(lists)))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("mark"), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), tokens], ["key", "mark", "sig", "size", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("mark"), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bits, pa.list_(pa.int64())), tokens], ["key", "mark", "sig", "size", "bits", "tokens"])
 
     kind = docs.schema["key"].dataType.simpleString()
-    return docs.mapInArrow(run, f"key {kind}, mark long, sig binary, size int, tokens array<long>")
+    return docs.mapInArrow(run, f"key {kind}, mark long, sig binary, size int, bits array<long>, tokens array<long>")
 
 
 def _packs(docs: DataFrame, wanted: DataFrame, sketch, n: int) -> DataFrame:
@@ -208,6 +217,15 @@ def _packs(docs: DataFrame, wanted: DataFrame, sketch, n: int) -> DataFrame:
     return found.join(wanted.select("set", "sig"), "sig").select("set", "pack")
 
 
+def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) that may overlap enough by the parity bits of sets (set, size, bits)."""
+    for side in ("x", "y"):
+        pairs = pairs.join(sets.select(F.col("set").alias(side), F.col("size").alias(f"s{side}"), F.col("bits").alias(f"b{side}")), side)
+    differ = sum((F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(PARITY // 64)), F.lit(0))
+    least = F.expr(f"(({percent} * (sx + sy) + {99 + percent}) div {100 + percent})")
+    return pairs.where(F.col("sx") + F.col("sy") - differ >= 2 * least).select("x", "y")
+
+
 def _verify(pairs: DataFrame, packs: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) that link. A group is one x and about MEMBERS partners at most, however many x has."""
     counts = cut(pairs.groupBy("x").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / MEMBERS)))
@@ -272,7 +290,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     docs = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     sketch = docs.sparkSession.sparkContext.broadcast(_sketch(docs, n))  # SKETCH numbers of four bytes
     rows = cut(_short_lists(docs, sketch, n, percent))
-    sets = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("least"), F.first(F.struct("mark", "size", "tokens")).alias("_s"))
+    sets = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("least"), F.first(F.struct("mark", "size", "bits", "tokens")).alias("_s"))
     sets = cut(sets.select("sig", "_n", "least", "_s.*", F.monotonically_increasing_id().alias("set")))
     lists = sets.select("set", "size", F.posexplode("tokens").alias("at", "token"))
     shared = cut(lists.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
@@ -282,8 +300,10 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
     def verified(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.col("x").alias("set")).unionByName(pairs.select(F.col("y").alias("set"))).distinct().withColumn("_n", F.lit(1))
-        wanted = cut(join_counted(sets.select("set", "sig", "mark"), cut(asked), "set", "_n"))
-        return cut(_verify(pairs, _packs(docs, wanted, sketch, n), percent))
+        wanted = cut(join_counted(sets.select("set", "sig", "mark", "size", "bits"), cut(asked), "set", "_n"))
+        pairs = cut(_plausible(pairs, wanted, percent))
+        asked = pairs.select(F.col("x").alias("set")).unionByName(pairs.select(F.col("y").alias("set"))).distinct()
+        return cut(_verify(pairs, _packs(docs, cut(wanted.select("set", "sig", "mark").join(asked, "set", "left_semi")), sketch, n), percent))
 
     # 1: each set against the leader of each of its lists, the one most of them share
     least = F.expr(f"(({percent} * (size + lsize) + {99 + percent}) div {100 + percent})")
@@ -302,6 +322,6 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     named = linked.join(linked.groupBy("comp").agg(F.min("least").alias("name")), "comp").select("set", "name", F.lit(1).alias("_n"))
     shown = join_counted(sets.select("set", "sig", "_n", "least"), named.withColumnRenamed("_n", "_m"), "set", "_m", "left")
     shown = cut(shown.where("_n > 1 OR name IS NOT NULL").select("sig", "_n", F.coalesce("name", "least").alias("name")))
-    out = join_counted(rows.where("sig IS NOT NULL").drop("tokens", "mark"), shown, "sig", "_n", "left")
-    alone = rows.where("sig IS NULL").drop("tokens", "mark").withColumn("name", F.col("key"))
+    out = join_counted(rows.where("sig IS NOT NULL").drop("tokens", "mark", "bits"), shown, "sig", "_n", "left")
+    alone = rows.where("sig IS NULL").drop("tokens", "mark", "bits").withColumn("name", F.col("key"))
     return out.unionByName(alone).select(F.col("key").alias(key), F.col("size").cast("long").alias("n_shingles"), F.coalesce("name", "key").alias("component_id"))

@@ -366,3 +366,14 @@ def test_pieces_against_the_tokenizer(spark):
         ends = [*(p.offset for p in r.pieces[1:]), len(r.ids) // 4]
         crcs.subtract(zlib.crc32(bytes(r.ids)[4 * p.offset : 4 * e]) for p, e in zip(r.pieces, ends))
     assert not any(crcs.values())
+
+
+def test_parity_bits_never_hide_a_link(spark):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, int(n)).astype(np.uint64)) for n in rng.integers(1, 900, 12)]
+    sets += [np.unique(np.append(s[: int(len(s) * share)], rng.integers(0, 1 << 63, len(s) // 20).astype(np.uint64))) for s in sets for share in (0.95, 0.9, 0.8)]
+    rows = spark.createDataFrame([(i, len(s), ngram_join.parity(s)) for i, s in enumerate(sets)], "set long, size int, bits array<long>")
+    pairs = list(combinations(range(len(sets)), 2))
+    kept = {(r.x, r.y) for r in ngram_join._plausible(spark.createDataFrame(pairs, "x long, y long"), rows, 85).collect()}
+    links = {(a, b) for a, b in pairs if len(np.intersect1d(sets[a], sets[b])) >= ngram_join.needed(len(sets[a]), len(sets[b]), 85)}
+    assert links and links <= kept and len(kept) < len(pairs) / 4
