@@ -1,14 +1,16 @@
 """Quality classifier: attention-based multiple-instance learning.
 
 Every passage of a text is encoded from its bytes; gated attention, learned from document labels, weighs the passages,
-and a logistic layer scores the weighted mean. Null and empty texts are one empty passage. The model is fitted on the
-driver on at most FIT_DOCS labelled texts of at most FIT_BYTES (those of smallest hash), and scores every text in whole.
+and a logistic layer scores the weighted mean. Null and empty texts are one empty passage. The model is fitted in one task
+on at most FIT_DOCS labelled texts of at most FIT_BYTES (those of smallest hash); the driver gets its parameters alone. It
+scores every text in whole.
 Contradicting labels of an id average; repeated rows of an id count as often as they stand; labels without an id or a
 quality are not used; without labels every score is one half.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,9 +64,11 @@ def _forward(w: dict, x: np.ndarray):
 def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 12, seed: int = 5, rate: float = 3e-3) -> dict:
     """Adam over the documents; the classes weigh by their share, as the score is a probability."""
     rng = np.random.default_rng(seed)
-    flat = np.vstack(bags) if bags else np.zeros((1, DIMS), dtype=np.float32)
+    n = max(sum(map(len, bags)), 1)
+    mu = sum((x.sum(0, dtype=np.float64) for x in bags), np.zeros(DIMS)) / n
+    sd = np.sqrt(np.maximum(sum((np.square(x - mu).sum(0) for x in bags), np.zeros(DIMS)) / n, 0))
     w = {
-        "mu": flat.mean(0), "sd": flat.std(0) + 0.02, "E": rng.normal(0, DIMS**-0.5, (DIMS, HIDDEN)), "e": np.zeros(HIDDEN), "V": rng.normal(0, 0.25, (HIDDEN, GATE)),
+        "mu": mu.astype(np.float32), "sd": (sd + 0.02).astype(np.float32), "E": rng.normal(0, DIMS**-0.5, (DIMS, HIDDEN)), "e": np.zeros(HIDDEN), "V": rng.normal(0, 0.25, (HIDDEN, GATE)),
         "U": rng.normal(0, 0.25, (HIDDEN, GATE)), "a": rng.normal(0, 0.25, GATE), "o": np.zeros(HIDDEN), "b": np.zeros(1),
     }
     names = [k for k in w if k not in ("mu", "sd")]
@@ -118,9 +122,17 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
         marks = marks.where(F.pmod("_h", F.lit(1_000_003)) < int(share * 1_000_003))
     chosen = marks.orderBy("_h").limit(FIT_DOCS)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_BYTES)
-    data = rows.orderBy("_h", "text").limit(FIT_DOCS).toPandas()
-    bags = [passages(t) for t in data["text"]]
-    return fit(bags, data["_y"].to_numpy(dtype=float))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bags, labels = [], []
+        for batch in batches:
+            bags += [passages(t) for t in batch["text"]]
+            labels += batch["_y"].tolist()
+        yield pd.DataFrame({"model": [pickle.dumps(fit(bags, np.array(labels, dtype=float)))]})
+
+    chosen = rows.orderBy("_h", "text").limit(FIT_DOCS).select("text", "_y").coalesce(1)
+    found = chosen.mapInPandas(run, "model binary").collect()  # one row of a fixed size
+    return pickle.loads(found[0]["model"]) if found else fit([], np.zeros(0))
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score") -> DataFrame:
