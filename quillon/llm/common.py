@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 HEAVY = 1000
 #: Rows a table of short rows may have to be broadcast whole; larger ones are joined by a shuffle.
 SMALL_ROWS = 20_000
-SMALL_KEYS = 200_000
+SMALL_KEYS = 20_000
 SALTS = 32
 SLICE = 4_000_000  # bytes of text that are worked on at once
 FAN_IN = 64  # blocks that one task adds up
@@ -43,7 +43,11 @@ def cut(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # Shuffle files and broadcasts that the checkpoint has replaced go when the driver's JVM collects its garbage, which it
+    # does late: without this the join of documents held over 1,500 MB there, and twice the disk.
+    sc._jvm.java.lang.System.gc()
+    return out
 
 
 def join_counted(big: DataFrame, small: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
