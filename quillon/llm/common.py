@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -50,6 +51,15 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table in the shared folder, for frames that a loop joins again and again. A checkpoint hands on its plan's
+    size estimate, and a join's estimate is the product of its sides', so its digits double with every round until the driver
+    does nothing but multiply them. A table has the size of its files."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def join_counted(big: DataFrame, small: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
     """Join many rows to one row per key, where column n of small counts the rows of big by key.
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import added_up, cut, join_counted, text_slices, utf8
+from .common import added_up, cut, join_counted, text_slices, utf8, written
 
 SKETCH = 1 << 18
 SKETCH_BLOCKS = 64
@@ -247,24 +247,24 @@ def _verify(pairs: DataFrame, packs: DataFrame, percent: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) of every linked id: the smallest id reachable, by hooking onto the smallest neighbour and pointer jumping."""
-    edges = cut(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    edges = written(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     at = None
     while not edges.isEmpty():
         # every component hooks onto the least neighbour; then pointers jump to roots
-        parent = cut(edges.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p")))
+        parent = written(edges.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p")))
         while True:
             up = parent.select(F.col("x").alias("p"), F.col("p").alias("q"))
-            jumped = cut(parent.join(up, "p", "left").select("x", F.coalesce("q", "p").alias("q"), "p"))
+            jumped = written(parent.join(up, "p", "left").select("x", F.coalesce("q", "p").alias("q"), "p"))
             parent = jumped.select("x", F.col("q").alias("p"))
             if jumped.where("q <> p").isEmpty():
                 break
         if at is None:
             at = parent.select(F.col("x").alias("id"), F.col("p").alias("comp"))
         else:
-            at = cut(at.join(parent.withColumnRenamed("x", "comp"), "comp", "left").select("id", F.coalesce("p", "comp").alias("comp")))
+            at = written(at.join(parent.withColumnRenamed("x", "comp"), "comp", "left").select("id", F.coalesce("p", "comp").alias("comp")))
         a = parent.select("x", F.col("p").alias("px"))
         b = parent.select(F.col("x").alias("y"), F.col("p").alias("py"))
-        edges = cut(edges.join(a, "x").join(b, "y").where("px <> py").select(F.col("px").alias("x"), F.col("py").alias("y")).distinct())
+        edges = written(edges.join(a, "x").join(b, "y").where("px <> py").select(F.col("px").alias("x"), F.col("py").alias("y")).distinct())
     return at if at is not None else links.select(F.col("x").alias("id"), F.col("y").alias("comp"))
 
 
