@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from .chat import chat_report
 from .common import table
+from .fill_middle import FIM_SQL, fim_report
 from .hmm import lm_report
 from .html_extract import extract_main_text
+from .language_cnn import language_report
 from .media import media_report
+from .merkle import MERKLE_SQL, merkle_report
 from .mixing import MIX_SQL, mix
 from .ngram_join import near_groups
 from .packing import pack
@@ -69,6 +72,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_report(table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_report(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,8 +94,9 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_mixing, op3_media_columns, op4_chat_formatting, op5_lm_scoring, op6_quality_rules,
-        op7_url_filters, op8_quality_classifier, op9_ngram_jaccard_join, op10_best_fit_packing, pipeline,
+        op7_url_filters, op8_quality_classifier, op9_ngram_jaccard_join, op10_best_fit_packing, op11_merkle_manifest, op12_language_id,
+        op13_fill_in_middle, pipeline,
     )
 }
 
-ORACLE_SQL = {"op2_mixing": MIX_SQL}
+ORACLE_SQL = {"op2_mixing": MIX_SQL, "op11_merkle_manifest": MERKLE_SQL, "op13_fill_in_middle": FIM_SQL}
