@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillon.functions import names as N
 from quillon.operators.shared import cut
 
+WINDOW_ROWS = 500_000  # rows of one key that a single task may sort
+
 
 def sync_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     """source (path, sha) against target (path, folder, name, sha): one row per path with its action.
@@ -25,39 +27,70 @@ def sync_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     return rows.unionByName(stray)
 
 
+def _tie(rows: DataFrame) -> Column:
+    """Tells apart rows that are equal in order, the same way whenever they are read again."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()])
+
+
+def _ranged(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Sorted ranges, kept, with _rg_at: the range in the upper bits, the row's place in it in the lower 33."""
+    rows = rows.withColumn("_rg_tie", _tie(rows))
+    sorted_ = rows.repartitionByRange(*order, "_rg_tie").sortWithinPartitions(*order, "_rg_tie")
+    return cut(sorted_.withColumn("_rg_at", F.monotonically_increasing_id()).drop("_rg_tie"))
+
+
 def numbered(files: DataFrame, order: list[Column], start: int = 1, out: str = "idx") -> DataFrame:
     """Global numbers in order, without one task for all rows: ranges are sorted apart, kept, and offset by their counts.
 
     The sorted rows are kept before they are counted, so counts and rows come from the same ranges. Rows that are equal in
-    order get different numbers.
+    order get different numbers; a hash of the whole row tells them apart, so they spread over ranges too.
     """
-    place = F.monotonically_increasing_id()  # the range in the upper bits, the row's place in it in the lower 33
-    kept = cut(files.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", place))
-    sizes = kept.groupBy(F.shiftright("_at", 33).alias("_p")).agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    base = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
-    number = F.col("_b") + F.col("_at").bitwiseAND((1 << 33) - 1) + start
-    return kept.join(F.broadcast(base), F.shiftright("_at", 33) == F.col("_q")).withColumn(out, number.cast("long")).drop("_at", "_q", "_b")
+    kept = _ranged(files, order)
+    sizes = kept.groupBy(F.shiftright("_rg_at", 33).alias("_rg_p")).agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.orderBy("_rg_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    base = sizes.select(F.col("_rg_p").alias("_rg_q"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
+    number = F.col("_b") + F.col("_rg_at").bitwiseAND((1 << 33) - 1) + start
+    return kept.join(F.broadcast(base), F.shiftright("_rg_at", 33) == F.col("_rg_q")).withColumn(out, number.cast("long")).drop("_rg_at", "_rg_q", "_b")
 
 
-def ranked(rows: DataFrame, keys: list[str], order: list[str], out: str = "rank") -> DataFrame:
-    """Numbers from 1 within each key, by global numbers, so that no key's rows are one task's."""
-    whole = numbered(rows, [F.col(c) for c in (*keys, *order)], 0, "_g")
-    first = whole.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_g").alias("_first"))
-    same = F.lit(True)
+def running(rows: DataFrame, keys: list[str], order: list[str], **values: Column) -> DataFrame:
+    """Running sums of the values within each key, in order, the row's own value included; no key with many rows is one task's.
+
+    Up to WINDOW_ROWS rows a key a window does. Beyond, rows are sorted by ranges. What a range adds up of a key is its own; what earlier ranges hold of the key is carried to it.
+    Only a range's first key can begin earlier, so there are at most as many carries as ranges.
+    """
+    most = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if most <= WINDOW_ROWS:
+        whole = Window.partitionBy(*keys).orderBy(*order, _tie(rows)).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumns({n: F.sum(v.cast("long")).over(whole) for n, v in values.items()})
+    kept = _ranged(rows.withColumns({f"_v_{n}": v.cast("long") for n, v in values.items()}), [F.col(k) for k in (*keys, *order)])
+    kept = kept.withColumn("_rg_p", F.shiftright("_rg_at", 33))
+    own = Window.partitionBy("_rg_p", *keys).orderBy("_rg_at").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy(*keys).orderBy("_rg_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    totals = kept.groupBy("_rg_p", *keys).agg(*[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in values])
+    carry = totals.select(F.col("_rg_p").alias("_rg_q"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[F.sum(f"_v_{n}").over(earlier).alias(f"_c_{n}") for n in values])
+    carry = carry.where(" OR ".join(f"_c_{n} IS NOT NULL" for n in values))
+    same = F.col("_rg_p") == F.col("_rg_q")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return whole.join(first, same).withColumn(out, F.col("_g") - F.col("_first") + 1).drop("_g", "_first", *[f"_k{i}" for i in range(len(keys))])
+    kept = kept.withColumns({n: F.sum(f"_v_{n}").over(own) for n in values}).join(F.broadcast(carry), same, "left")
+    kept = kept.withColumns({n: F.col(n) + F.coalesce(f"_c_{n}", F.lit(0)) for n in values})
+    return kept.drop("_rg_at", "_rg_p", "_rg_q", *[f"_k{i}" for i in range(len(keys))], *[f"{x}{n}" for n in values for x in ("_v_", "_c_")])
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[str], out: str = "rank") -> DataFrame:
+    """Numbers from 1 within each key, in order."""
+    return running(rows, keys, order, **{out: F.lit(1)})
 
 
 def mismatch_runs(checks: DataFrame, least: int = 5) -> DataFrame:
     """Runs of at least `least` mismatches in index order; a match ends a run. checks: device, idx, ok.
 
-    The number among all rows less the number among mismatches is the same throughout a run, and only there.
+    The number of matches before is the same throughout a run, and only there.
     """
-    bad = numbered(checks, [F.col("device"), F.col("idx")], 0, "_all").where("NOT ok")
-    runs = numbered(bad, [F.col("device"), F.col("idx")], 0, "_bad").groupBy("device", (F.col("_all") - F.col("_bad")).alias("island"))
-    return runs.agg(F.count(F.lit(1)).alias("run"), F.min("idx").alias("first_idx")).where(F.col("run") >= least).drop("island")
+    rows = running(checks.select("device", "idx", "ok"), ["device"], ["idx"], island=F.when(F.col("ok"), 1).otherwise(0))
+    runs = rows.where("NOT ok").groupBy("device", "island").agg(F.count(F.lit(1)).alias("run"), F.min("idx").alias("first_idx"))
+    return runs.where(F.col("run") >= least).drop("island")
 
 
 def last_state(events: DataFrame, key: str, seq: str, state: str) -> DataFrame:

@@ -1,78 +1,187 @@
-"""Collision-free names: greedy `_001` suffixes in arrival order, by families of names that can meet."""
+"""Collision-free names, as if files came one after the other: each takes its name, or the first free one with a number.
+
+Numbers go between stem and extension (`resolve`: _001, _002 ..., `beside`: _1, _2 ...). Whatever was taken stays taken, so
+the files that find their name taken get rising numbers, and the j-th of them gets the j-th number that is free for them:
+its rank, pushed on by the taken numbers below it. Ranks, taken numbers and what they push come from running counts over
+sorted ranges, so one name may have any share of all rows.
+
+A number is taken if the name stands already, or if a file whose own name looks like that (a_001.mp3) came before the count
+got there. Names are therefore worked through by how many numbers they end in: the files called a.mp3 first, then, knowing
+what those took, the ones called a_001.mp3. Where names of both kinds came in turns, only the contested numbers are walked
+through in order, a block at a time, two numbers each: which of them the files of that name reach before their owner.
+
+Null names stay null and take nothing; rows of equal order count in any order; names that end in a dot keep it behind the
+number; empty tables give no rows; columns of any name are kept, but one named as the added column is replaced.
+"""
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators.catalog import ranked
+from quillon.operators.catalog import running
+from quillon.operators.shared import cut
 
-_TAIL = r"(_[0-9]{3,})+(\.[^.]*)?\z"
+BLOCK = 100_000  # contested numbers that one task walks through
 
 
-def family(name: Column) -> Column:
-    """The name without its trailing number suffixes; only names of one family can collide."""
-    return F.regexp_replace(name, _TAIL, "$2")
+class Form(NamedTuple):
+    number: str  # what the numbers look like
+    text: str  # how they are written
 
 
-def _suffixed(name: str, k: int, form: str) -> str:
-    m = re.fullmatch(r"(.+?)(\.[^.]*)?", name, re.S)
-    stem, ext = m.groups() if m else (name, "")
-    return f"{stem}_{form.format(k)}{ext or ''}"
+THREE = Form(r"(?:00[1-9]|0[1-9][0-9]|[1-9][0-9]{2,17})", "%03d")
+PLAIN = Form(r"[1-9][0-9]{0,17}", "%d")
 
 
-def resolve(files: DataFrame, name: str = "name", order: str = "seq", out: str = "resolved") -> DataFrame:
-    """Adds `out`: the name, or the first free name_NNN; generated names occupy the space too. Null names stay null.
+def extension_of(name: Column) -> Column:
+    """What stands from the last dot on, the dot too; a leading dot begins none."""
+    return F.regexp_extract(name, r"(?s)^.+(\.[^.]*)\z", 1)
+
+
+def _stem(name: Column) -> Column:
+    return name.substr(F.lit(1), F.length(name) - F.length(extension_of(name)))
+
+
+def _numbered(name: Column, k: Column, form: Form) -> Column:
+    return F.concat(_stem(name), F.lit("_"), F.format_string(form.text, k), extension_of(name))
+
 
-    Families in which every name is the same need no search: the rows are numbered in order, whatever their number. Only
-    families that also hold names with such suffixes of their own are worked through one after the other.
+def _parent(name: Column, form: Form) -> tuple[Column, Column]:
+    """The name that this one is a numbered form of (null if of none), and the number."""
+    pattern = rf"(?s)\A(.*)_({form.number})\z"
+    stem = _stem(name)
+    k = F.regexp_extract(stem, pattern, 2)
+    return F.when(k != "", F.concat(F.regexp_extract(stem, pattern, 1), extension_of(name))), k.try_cast("bigint")
+
+
+def _numbers_at_end(name: Column, form: Form) -> Column:
+    found = F.regexp_extract(_stem(name), rf"((?:_{form.number})+)\z", 1)
+    return F.length(found) - F.length(F.replace(found, F.lit("_"), F.lit("")))
+
+
+def _walked(contested: DataFrame) -> DataFrame:
+    """contested (_name, _k, _child, _c, _m, _e, _block) with _won: whether the files of _name reach the number first.
+
+    In the order of _e, the number's place among those that do not stand already: x of _m files are placed so far; the numbers
+    between two contested ones are free for them; a contested one is theirs if fewer than _c are placed, as the _c-th file came
+    before the owner did. Blocks are walked side by side, each from where the last round left the block before it, until that
+    no longer changes: at the latest after as many rounds as a name has blocks.
     """
-    rows = files.withColumn("_family", family(F.col(name)))
-    mixed = rows.where(F.col(name) != F.col("_family")).select("_family").distinct()
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        return frame.drop(columns="_family").assign(**{out: greedy(list(frame[name]), set(), "{:03d}")})
-
-    searched = rows.join(mixed, "_family", "left_semi").groupBy("_family").applyInPandas(run, f"{kinds}, `{out}` string")
-    plain = ranked(rows.join(mixed, "_family", "left_anti").drop("_family"), [name], [order], "_k")
-    dot = F.regexp_extract(F.col(name), r"(?s)^.+(\.[^.]*)\z", 1)
-    stem = F.col(name).substr(F.lit(1), F.length(name) - F.length(dot))
-    numbered = F.concat(stem, F.format_string("_%03d", F.col("_k") - 1), dot)
-    plain = plain.withColumn(out, F.when(F.col("_k") == 1, F.col(name)).otherwise(numbered)).drop("_k")
-    return searched.unionByName(plain)
-
-
-def greedy(names: list, used: set[str], form: str) -> list:
-    """Each name, or the first free one with a suffix, in the order of arrival."""
-    following: dict[str, int] = {}
-    made = []
-    for n in names:
-        if n is None or n != n:
-            made.append(None)
+    contested = contested.select("_name", "_k", "_child", "_c", "_m", "_e", "_block")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in contested.schema)
+
+    def walk(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        x, last = (int(entry["_x"].iloc[0]), int(entry["_last"].iloc[0])) if len(entry) else (0, 0)
+        if not len(rows):
+            return rows.assign(_won=pd.Series(dtype=bool), _x=pd.Series(dtype="int64"), _last=pd.Series(dtype=bool))
+        rows = rows.sort_values("_e")
+        most, won, placed = int(rows["_m"].iloc[0]), [], []
+        for e, c in zip(rows["_e"].tolist(), rows["_c"].tolist()):
+            x = min(most, x + e - last - 1)
+            won.append(x < c)
+            x, last = x + (x < c), e
+            placed.append(x)
+        return rows.assign(_won=won, _x=placed, _last=[False] * (len(rows) - 1) + [True])
+
+    entries = contested.select("_name", "_block").limit(0).selectExpr("*", "0L AS _x", "0L AS _last")
+    several = contested.where("_block > 0").isEmpty()
+    while True:
+        out = cut(contested.groupBy("_name", "_block").cogroup(entries.groupBy("_name", "_block")).applyInPandas(walk, f"{kinds}, _won boolean, _x long, _last boolean"))
+        if several:
+            return out.drop("_x", "_last")
+        found = out.where("_last").select("_name", (F.col("_block") + 1).alias("_block"), "_x", F.col("_e").alias("_last"))
+        if found.exceptAll(entries).isEmpty():
+            return out.drop("_x", "_last")
+        entries = cut(found)
+
+
+def _placed(files: DataFrame, name: str, order: str, out: str, form: Form, existing: DataFrame | None, content: str | None) -> DataFrame:
+    """files with `out`; with content, null where the file that has the very name holds the same. existing: _there, _content."""
+    spark, kept = files.sparkSession, [c for c in files.columns if c != out]
+    rows = files.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row"), F.col(name).alias("_name"), F.col(order).alias("_order"), (F.col(content) if content else F.lit(None)).cast("string").alias("_content"))
+    unnamed = rows.where("_name IS NULL").select("_row", F.lit(None).cast("string").alias("_out"))
+    rows = cut(rows.where("_name IS NOT NULL").withColumn("_depth", _numbers_at_end(F.col("_name"), form)))
+    there = spark.createDataFrame([], "_there string, _content string") if existing is None else existing.where("_there IS NOT NULL")
+    there = cut(there.withColumns(dict(zip(("_of", "_k"), _parent(F.col("_there"), form)))))
+    depths = sorted(r[0] for r in rows.select("_depth").distinct().collect())  # at most half a name's characters
+    done, given = [unnamed], None
+    for depth in depths:
+        own = rows.where(F.col("_depth") == depth).drop("_depth")
+        names = own.select("_name").distinct()
+        marks = there.select(F.col("_there").alias("_name"), "_content").join(names, "_name", "left_semi")
+        marks = marks if given is None else marks.unionByName(given)
+        merged = own.withColumn("_kind", F.lit(1)).unionByName(marks.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+        merged = running(merged, ["_name"], ["_kind", "_order"], _rank=F.lit(1))
+        done.append(merged.where("_kind = 1 AND _rank = 1").select("_row", F.col("_name").alias("_out")))
+        over = merged.where("_kind = 1 AND _rank > 1")
+        if content:
+            merged = cut(merged)
+            holder = merged.where("_rank = 1").select("_name", F.col("_content").alias("_held"))
+            over = merged.where("_kind = 1 AND _rank > 1").join(holder, "_name")
+            same = F.col("_content").eqNullSafe(F.col("_held")) & F.col("_content").isNotNull()
+            done.append(over.where(same).select("_row", F.lit(None).cast("string").alias("_out")))
+            over = running(over.where(~same).drop("_rank", "_held"), ["_name"], ["_order"], _j=F.lit(1))
+        else:
+            over = over.withColumn("_j", F.col("_rank") - 1)
+        over = cut(over.select("_row", "_name", "_order", "_content", "_j"))
+        if over.isEmpty():
+            given = None
             continue
-        got, k = n, following.get(n, 1)
-        while got in used:
-            got, k = _suffixed(n, k, form), k + 1
-        following[n] = k
-        used.add(got)
-        made.append(got)
-    return made
+        names = over.select("_name").distinct()
+        taken = there.select(F.col("_of").alias("_name"), "_k").join(names, "_name", "left_semi").distinct()
+        contested = None
+        if depth + 1 in depths:
+            contested = _contested(over, rows.where(F.col("_depth") == depth + 1), there, taken, names, form)
+            taken = taken.unionByName(contested.where("NOT _won").select("_name", "_k"))
+        taken = cut(taken)
+        if taken.isEmpty():
+            over = over.withColumn("_slot", F.col("_j"))
+        else:
+            # free numbers below the taken one: the files of these ranks come before it, each of the others is pushed on by one
+            taken = running(taken, ["_name"], ["_k"], _i=F.lit(1)).select("_name", (F.col("_k") - F.col("_i")).alias("_j"), F.lit(1).alias("_kind"))
+            over = running(over.withColumn("_kind", F.lit(0)).unionByName(taken, allowMissingColumns=True), ["_name"], ["_j", "_kind"], _slot=F.lit(1)).where("_kind = 0")
+        placed = over.select("_row", _numbered(F.col("_name"), F.col("_slot"), form).alias("_out"), "_content")
+        given = None
+        if contested is not None:
+            given = contested.where("_won").select(F.col("_child").alias("_name"))
+            given = cut(given.join(placed.select(F.col("_out").alias("_name"), "_content"), "_name") if content else given.withColumn("_content", F.lit(None).cast("string")))
+        done.append(placed.drop("_content"))
+    return reduce(DataFrame.unionByName, done).select("_row.*", F.col("_out").alias(out))
+
+
+def _contested(over: DataFrame, literal: DataFrame, there: DataFrame, taken: DataFrame, names: DataFrame, form: Form) -> DataFrame:
+    """The numbers of names that files ask for by name, with _won. literal: those files; what stands already is no contest."""
+    first = literal.groupBy(F.col("_name").alias("_child")).agg(F.min("_order").alias("_order"))
+    first = first.join(there.select(F.col("_there").alias("_child")), "_child", "left_anti").withColumns(dict(zip(("_name", "_k"), _parent(F.col("_child"), form))))
+    first = first.join(names, "_name", "left_semi")
+    # _c: files of the name that came before the number's owner
+    before = over.select("_name", "_order", F.lit(0).alias("_kind")).unionByName(first.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    before = running(before, ["_name"], ["_order", "_kind"], _c=1 - F.col("_kind")).where("_kind = 1").select("_name", "_k", "_child", "_c")
+    below = before.withColumn("_kind", F.lit(1)).unionByName(taken.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+    below = running(below, ["_name"], ["_k"], _below=1 - F.col("_kind"), _nth=F.col("_kind")).where("_kind = 1")
+    counts = over.groupBy("_name").agg(F.count(F.lit(1)).alias("_m"))
+    rows = below.join(counts, "_name").select("_name", "_k", "_child", "_c", "_m", (F.col("_k") - F.col("_below")).alias("_e"), F.expr(f"(_nth - 1) div {BLOCK}").alias("_block"))
+    return _walked(cut(rows))
+
+
+def resolve(files: DataFrame, name: str = "name", order: str = "seq", out: str = "resolved") -> DataFrame:
+    """Adds `out`: the name, or the first free name_NNN, in arrival order; generated names occupy the space too."""
+    return _placed(files, name, order, out, THREE, None, None)
 
 
 def beside(files: DataFrame, existing: DataFrame, name: str = "name", order: str = "seq", out: str = "resolved") -> DataFrame:
     """Adds `out`: the name, or the first name_N that neither stands in existing (name) nor was given before."""
-    tail = r"(_[0-9]+)+(\.[^.]*)?\z"
-    rows = files.withColumn("_family", F.regexp_replace(F.col(name), tail, "$2"))
-    there = existing.select(F.col(name).alias("_there")).distinct().withColumn("_family", F.regexp_replace("_there", tail, "$2"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema)
+    there = existing.select(F.col(name).alias("_there"), F.lit(None).cast("string").alias("_content")).distinct()
+    return _placed(files, name, order, out, PLAIN, there, None)
 
-    def run(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        new = new.sort_values(order, kind="stable")
-        return new.drop(columns="_family").assign(**{out: greedy(list(new[name]), set(old["_there"]), "{}")})
 
-    return rows.groupBy("_family").cogroup(there.groupBy("_family")).applyInPandas(run, f"{kinds}, `{out}` string")
+def backed_up(files: DataFrame, existing: DataFrame, name: str = "name", order: str = "seq", content: str = "sha", out: str = "stored") -> DataFrame:
+    """Adds `out`: where each file is backed up beside existing (name, content), null where the file under its very name, one that
+    stood there or one that came before, holds the same and nothing is copied."""
+    there = existing.groupBy(F.col(name).alias("_there")).agg(F.min(F.col(content).cast("string")).alias("_content"))
+    return _placed(files, name, order, out, PLAIN, there, content)

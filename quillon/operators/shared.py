@@ -1,19 +1,39 @@
-"""Lineage cuts into the folder that driver and executors share."""
+"""Lineage cuts: tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """This session's folder in spark.checkpoint.dir. Only a local session may do without the setting; its folder goes when Python ends."""
+    base, session = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
+    if base:
+        return f"{base.rstrip('/')}/quillon-{session}"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set; a cluster needs a folder that all executors share")
+    if session not in _own:
+        _own[session] = tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, _own[session], ignore_errors=True)
+    return _own[session]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            if not sc.master.startswith("local["):
-                raise ValueError("spark.checkpoint.dir is not set; a cluster needs a folder that all executors share")
-            import tempfile
-
-            base = tempfile.mkdtemp(prefix="quillon-")
-        sc.setCheckpointDir(base)
-    return df.checkpoint(eager=True)
+    """The rows as a table. Lost executors lose nothing of it, and a plan that reads it again and again has the size of its files:
+    a checkpoint hands on its plan's estimate, which joins multiply until the driver does nothing else."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this session's operators have cut; no frame that was made from them can be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -20,7 +20,7 @@ from quillon.operators import reports as R
 from quillon.operators import state as T
 from quillon.operators import sync as Y
 from quillon.operators import verify as V
-from quillon.operators.collisions import beside
+from quillon.operators.collisions import backed_up, beside, resolve
 from quillon.plans.catalog_queries import query
 
 
@@ -296,6 +296,35 @@ def backup_names(spark, sf_dir):
     return beside(rows, OLD.frame(spark, sf_dir), "name", "doc_id", "stored").select("name", "same", "stored")
 
 
+_FAMILY = "'f' || doc_id // 25 || CASE doc_id * 7 % 11 WHEN 0 THEN '_1' WHEN 1 THEN '_2' WHEN 2 THEN '_1_1' WHEN 3 THEN '_001' WHEN 4 THEN '_002' WHEN 5 THEN '_001_001' ELSE '' END || CASE WHEN doc_id % 25 = 24 THEN '' ELSE '.mp3' END"
+ARRIVALS = Bound("documents", fam="doc_id // 25", seq="doc_id * 7919 % 104729", name=_FAMILY, sha="'h' || doc_id % 4")
+STANDING = Bound("documents", "doc_id % 25 IN (3, 9)", fam="doc_id // 25", name="'f' || doc_id // 25 || CASE WHEN doc_id % 50 = 3 THEN '_3' WHEN doc_id % 25 = 9 THEN '' ELSE '_1' END || '.mp3'", sha="'h' || doc_id % 4")
+
+
+def _named_sql(standing: str, text: str, same: str) -> str:
+    """Names given one after the other, the n-th of every family at once; held maps a family's names to their contents."""
+    dot = "(CASE WHEN name LIKE '%.mp3' THEN '.mp3' ELSE '' END)"
+    made = f"replace(name, '.mp3', '') || '_' || {text} || {dot}"
+    return f"""WITH RECURSIVE q AS (SELECT *, row_number() OVER (PARTITION BY fam ORDER BY seq) AS n FROM {ARRIVALS}),
+ b AS (SELECT fam, coalesce(any_value(names), []::VARCHAR[]) AS names, coalesce(any_value(shas), []::VARCHAR[]) AS shas FROM q LEFT JOIN (SELECT fam, list(name) AS names, list(sha) AS shas FROM {standing} GROUP BY fam) USING (fam) GROUP BY fam),
+ st AS (SELECT fam, 0::BIGINT AS n, names, shas, NULL::BIGINT AS seq, NULL::VARCHAR AS name, NULL::VARCHAR AS stored FROM b
+ UNION ALL SELECT fam, n, CASE WHEN stored IS NULL THEN names ELSE list_append(names, stored) END, CASE WHEN stored IS NULL THEN shas ELSE list_append(shas, sha) END, seq, name, stored FROM
+ (SELECT st.fam, q.n, st.names, st.shas, q.seq, q.name, q.sha, CASE WHEN NOT list_contains(st.names, q.name) THEN q.name WHEN {same} THEN NULL ELSE list_filter(list_transform(range(1, 60), lambda k: {made.replace('name', 'q.name')}), lambda c: NOT list_contains(st.names, c))[1] END AS stored
+ FROM st JOIN q ON q.fam = st.fam AND q.n = st.n + 1))
+ SELECT seq, name, stored FROM st WHERE seq IS NOT NULL"""
+
+
+@query(_named_sql(f"(SELECT * FROM {ARRIVALS} WHERE false)", "CASE WHEN k < 1000 THEN printf('%03d', k) ELSE k::VARCHAR END", "false"))
+def mixed_collision_names(spark, sf_dir):
+    return resolve(ARRIVALS.frame(spark, sf_dir).select("seq", "name"), out="stored")
+
+
+@query(_named_sql(str(STANDING), "k", "list_extract(st.shas, list_position(st.names, q.name)) = q.sha"))
+def backup_plan(spark, sf_dir):
+    files = ARRIVALS.frame(spark, sf_dir).select("seq", "name", "sha")
+    return backed_up(files, STANDING.frame(spark, sf_dir).select("name", "sha")).select("seq", "name", "stored")
+
+
 @query(f"SELECT p.idx, p.path, coalesce(d.sha = p.checksum AND p.status = 'completed', false) AS skip FROM (SELECT *, 'VOL_' || printf('%02d', idx // 50 + 1) || '/' || name AS path FROM {CHECKPOINT}) p LEFT JOIN {DISK} d USING (path)")
 def resume_skip(spark, sf_dir):
     rows = CHECKPOINT.frame(spark, sf_dir)
@@ -314,28 +343,45 @@ STEPS = Bound("events", seq="event_id", idx="user_id", target="user_id", name="'
               move="CASE event_id % 7 WHEN 0 THEN 'ensure' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'committed' WHEN 3 THEN 'failed' ELSE 'ensure' END")
 
 
-_CK_STATE = f"""(SELECT idx, coalesce((SELECT arg_max(name, seq) FROM {STEPS} r WHERE r.idx = s.idx AND r.kind = 'renamed' AND r.seq >= s.b), any_value(s.n)) AS name, CASE WHEN any_value(s.b) IS NULL THEN 'unknown' WHEN k = 'start' THEN 'in_progress' ELSE k END AS status,
- CASE WHEN true THEN (SELECT arg_max(checksum, seq) FROM {STEPS} r WHERE r.idx = s.idx AND r.kind = 'completed' AND (s.b IS NULL OR r.seq >= s.b)) END AS checksum,
- (SELECT CASE WHEN arg_max(kind, seq) = 'failed' THEN arg_max(error, seq) END FROM {STEPS} r WHERE r.idx = s.idx AND r.kind IN ('completed', 'failed') AND (s.b IS NULL OR r.seq >= s.b)) AS error
- FROM (SELECT u.idx, b, n, (SELECT arg_max(kind, seq) FROM {STEPS} r WHERE r.idx = u.idx AND r.kind <> 'renamed' AND (b IS NULL OR r.seq >= b)) AS k FROM (SELECT idx, max(seq) FILTER (kind = 'start') AS b, arg_max(name, seq) FILTER (kind = 'start') AS n FROM {STEPS} GROUP BY idx) u) s GROUP BY idx, s.b, k)"""
+_CK_STEP = """CASE WHEN e.kind = 'start' THEN {s: 'in_progress', n: e.name, c: NULL::VARCHAR, e: NULL::VARCHAR, r: a.r} WHEN a.s = 'unknown' OR e.kind NOT IN ('completed', 'failed', 'renamed') THEN {s: a.s, n: a.n, c: a.c, e: a.e, r: a.r + 1}
+ WHEN e.kind = 'completed' THEN {s: 'completed', n: a.n, c: e.checksum, e: NULL::VARCHAR, r: a.r} WHEN e.kind = 'failed' THEN {s: 'failed', n: a.n, c: a.c, e: e.error, r: a.r} ELSE {s: a.s, n: e.name, c: a.c, e: a.e, r: a.r} END"""
+_JOURNAL_STEP = """CASE WHEN e.kind = 'ensure' THEN CASE WHEN a.s = 'committed' THEN a ELSE {s: 'pending', e: NULL::VARCHAR, r: a.r} END WHEN a.s = 'unknown' OR e.kind NOT IN ('in_progress', 'committed', 'failed') THEN {s: a.s, e: a.e, r: a.r + 1}
+ ELSE {s: e.kind, e: CASE WHEN e.kind = 'failed' THEN e.error END, r: a.r} END"""
+
 
+def _fold_sql(rows: str, key: str, first: str, step: str, out: str) -> str:
+    """Events taken one after the other, the n-th of every key at once."""
+    return f"""WITH RECURSIVE ev AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY seq) AS n FROM {rows}),
+ st AS (SELECT DISTINCT {key}, 0::BIGINT AS n, {first} AS a FROM ev UNION ALL SELECT st.{key}, st.n + 1, {step} FROM st JOIN ev e ON e.{key} = st.{key} AND e.n = st.n + 1)
+ SELECT {key}, {out} FROM st WHERE n = (SELECT count(*) FROM ev WHERE ev.{key} = st.{key})"""
 
-@query(f"SELECT * FROM {_CK_STATE}")
+
+@query(_fold_sql(str(STEPS), "idx", "{s: 'unknown', n: NULL::VARCHAR, c: NULL::VARCHAR, e: NULL::VARCHAR, r: 0::BIGINT}", _CK_STEP, "a.n AS name, a.s AS status, a.c AS checksum, a.e AS error, a.r AS rejected"))
 def checkpoint_latest(spark, sf_dir):
     return T.checkpoint_state(STEPS.frame(spark, sf_dir))
 
 
-@query(f"SELECT count(*) FILTER (status = 'completed') AS completed, max(idx) FILTER (status = 'completed') AS last_completed, (count(*) FILTER (status = 'completed') * 100.0 / 4096)::FLOAT AS percentage, true AS recoverable FROM {CHECKPOINT}")
+@query(f"SELECT count(*) FILTER (status = 'completed') AS completed, max(idx) FILTER (status = 'completed') AS last_completed, (count(*) FILTER (status = 'completed') * 100.0 / 4096)::FLOAT AS percentage, count(*) > 0 AS recoverable FROM {CHECKPOINT}")
 def checkpoint_progress(spark, sf_dir):
     return T.checkpoint_progress(CHECKPOINT.frame(spark, sf_dir), 4096)
 
 
-@query(f"""SELECT target, CASE WHEN known IS NULL THEN 'unknown' WHEN last = 'ensure' AND moved = 'committed' THEN 'committed' WHEN last = 'ensure' THEN 'pending' ELSE last END AS status, CASE WHEN last = 'failed' THEN e END AS error FROM
- (SELECT target, min(seq) FILTER (move = 'ensure') AS known, arg_max(move, seq) AS last, arg_max(error, seq) AS e, arg_max(move, seq) FILTER (move <> 'ensure') AS moved FROM {STEPS} GROUP BY target)""")
+@query(_fold_sql(f"(SELECT seq, target, move AS kind, error FROM {STEPS})", "target", "{s: 'unknown', e: NULL::VARCHAR, r: 0::BIGINT}", _JOURNAL_STEP, "a.s AS status, a.e AS error, a.r AS rejected"))
 def journal_machine(spark, sf_dir):
     return T.journal_state(STEPS.frame(spark, sf_dir).select("seq", "target", F.col("move").alias("kind"), "error"))
 
 
+RUNS = Bound("customer", run="c_custkey", total="c_custkey % 40", operation="CASE c_custkey % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'in_progress' END")
+RUN_ROWS = Bound("orders", run="o_custkey", idx="o_orderkey", status="CASE o_orderkey % 9 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'failed' ELSE 'completed' END")
+
+
+@query(f"""SELECT run, count(*) FILTER (status = 'completed') AS completed, max(idx) FILTER (status = 'completed') AS last_completed,
+ (CASE WHEN any_value(total) = 0 THEN 100.0 ELSE count(*) FILTER (status = 'completed') * 100.0 / any_value(total) END)::FLOAT AS percentage, any_value(operation) = 'in_progress' AND count(idx) > 0 AS recoverable
+ FROM {RUNS} LEFT JOIN {RUN_ROWS} USING (run) GROUP BY run""")
+def checkpoints_progress(spark, sf_dir):
+    return T.checkpoints_progress(RUN_ROWS.frame(spark, sf_dir), RUNS.frame(spark, sf_dir))
+
+
 JOURNAL = Bound("orders", target=_DISK_PATH, source="'in/' || o_orderkey", hash=f"CASE WHEN o_orderkey % 5 = 0 THEN 'other' ELSE {_OWN} END", status="CASE o_orderkey % 4 WHEN 0 THEN 'committed' WHEN 1 THEN 'failed' ELSE 'pending' END", seq="o_orderkey")
 INPUTS = Bound("orders", "o_orderkey % 3 = 0", path="'in/' || o_orderkey")
 

@@ -127,13 +127,15 @@ def test_state_machines(spark):
     steps = [(1, 7, "start", "a", None, None), (2, 7, "failed", None, None, "bad"), (3, 7, "start", "b", None, None), (4, 7, "renamed", "c", None, None), (5, 7, "completed", None, "h", None), (6, 8, "completed", None, "h", None), (7, 9, "start", "x", None, None)]
     rows = spark.createDataFrame(steps, "seq long, idx long, kind string, name string, checksum string, error string")
     got = {r.idx: tuple(r)[1:] for r in T.checkpoint_state(rows).collect()}
-    assert got[7] == ("c", "completed", "h", None) and got[8][1] == "unknown" and got[9] == ("x", "in_progress", None, None)
+    assert got[7] == ("c", "completed", "h", None, 0) and got[8] == (None, "unknown", None, None, 1) and got[9] == ("x", "in_progress", None, None, 0)
     one = T.checkpoint_progress(T.checkpoint_state(rows), 2).first()
     assert (one.completed, one.percentage, one.recoverable) == (1, 50.0, True)
-    assert T.checkpoint_progress(T.checkpoint_state(rows.where("false")), 0).first().percentage == 100.0
+    assert not T.checkpoint_progress(T.checkpoint_state(rows), 2, "completed").first().recoverable
+    none = T.checkpoint_progress(T.checkpoint_state(rows.where("false")), 0).first()
+    assert none.percentage == 100.0 and not none.recoverable
     moves = [(1, "t", "ensure"), (2, "t", "committed"), (3, "t", "ensure"), (1, "u", "ensure"), (2, "u", "failed"), (1, "v", "failed"), (1, "w", "ensure"), (2, "w", "failed"), (3, "w", "ensure")]
     journal = spark.createDataFrame([(*m, "e") for m in moves], "seq long, target string, kind string, error string")
-    assert {r.target: (r.status, r.error) for r in T.journal_state(journal).collect()} == {"t": ("committed", None), "u": ("failed", "e"), "v": ("unknown", "e"), "w": ("pending", None)}
+    assert {r.target: (r.status, r.error) for r in T.journal_state(journal).collect()} == {"t": ("committed", None), "u": ("failed", "e"), "v": ("unknown", None), "w": ("pending", None)}
     entries = spark.createDataFrame([(1, "a", "h", 1, "p"), (2, "b", "h", 2048, "q")], "seq long, name string, sha string, size long, path string")
     assert [(r.name, r.size) for r in T.manifest(entries).collect()] == [("b", 2048)] and T.manifest_names(entries).count() == 2
 
