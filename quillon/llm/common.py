@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -12,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators.shared import cut, drop, shared_folder  # noqa: F401  for the operators here
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: A key with more than 1/HEAVY of the rows is heavy, so at most HEAVY keys are: a proven bound for a broadcast.
 HEAVY = 1000
@@ -27,39 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only a local session may do without the setting."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir is not set; a cluster needs a folder that all executors share")
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="quillon-")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    out = df.checkpoint(eager=True)
-    # Shuffle files and broadcasts that the checkpoint has replaced go when the driver's JVM collects its garbage, which it
-    # does late: without this the join of documents held over 1,500 MB there, and twice the disk.
-    sc._jvm.java.lang.System.gc()
-    return out
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the shared folder, for frames that a loop joins again and again. A checkpoint hands on its plan's
-    size estimate, and a join's estimate is the product of its sides', so its digits double with every round until the driver
-    does nothing but multiply them. A table has the size of its files."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def join_counted(big: DataFrame, small: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
     """Join many rows to one row per key, where column n of small counts the rows of big by key.
 
@@ -73,12 +41,8 @@ def join_counted(big: DataFrame, small: DataFrame, key: str, n: str, how: str =
     heavy = [r[0] for r in small.where((F.col(n) > at_least) & F.col(key).isNotNull()).select(key).collect()]
     if not heavy:
         return big.join(rest, key, how)
-    marks = big.sparkSession.createDataFrame([(k,) for k in heavy], f"{key} {small.schema[key].dataType.simpleString()}")
-    hot_small = F.broadcast(rest.join(F.broadcast(marks), key, "left_semi"))
-    hot_big = big.join(F.broadcast(marks), key, "left_semi")
-    cold_big = big.join(F.broadcast(marks), key, "left_anti")
-    cold_small = rest.join(F.broadcast(marks), key, "left_anti")
-    return cold_big.join(cold_small, key, how).unionByName(hot_big.join(hot_small, key, "inner"))
+    hot = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    return big.where(~hot).join(rest.where(~hot), key, how).unionByName(big.where(hot).join(F.broadcast(rest.where(hot)), key, how))
 
 
 def join_groups(big: DataFrame, groups: DataFrame, keys: list[str], most: int = SMALL_ROWS) -> DataFrame:
@@ -89,7 +53,8 @@ def join_groups(big: DataFrame, groups: DataFrame, keys: list[str], most: int =
     drop = [f"_g_{k}" for k in keys]
     if few:
         return big.join(F.broadcast(renamed), on, "left").drop(*drop)
-    big = big.withColumn("_salt", (F.rand(7) * SALTS).cast("int"))
+    own = F.xxhash64(*[F.col(f"`{f.name}`") for f in big.schema if "map<" not in f.dataType.simpleString()])
+    big = big.withColumn("_salt", F.pmod(own, F.lit(SALTS)).cast("int"))  # the same whenever a task runs again
     renamed = renamed.withColumn("_gsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     on = reduce(lambda a, b: a & b, [big[k].eqNullSafe(renamed[f"_g_{k}"]) for k in keys])
     return big.join(renamed, on & (big["_salt"] == renamed["_gsalt"]), "left").drop("_salt", "_gsalt", *drop)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SMALL_ROWS, crc_of_id, written
+from .common import SMALL_ROWS, crc_of_id, cut
 
 FANOUT = 16
 LEVELS = 3
@@ -41,11 +41,11 @@ def placed(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     so any number of them spreads over ranges."""
     by = [F.col(c).asc_nulls_first() for c in (*group, *order)] + [F.col("_tie")]
     ranges = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
-    kept = written(ranges.drop("_tie").withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    kept = cut(ranges.drop("_tie").withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
     sizes = kept.groupBy("_part", *group).agg(F.count(F.lit(1)).alias("_c"), F.min("_at").alias("_first"))
     whole = Window.partitionBy(*group)  # at most one row a range
     sizes = sizes.withColumn("_n", F.sum("_c").over(whole)).withColumn("_before", F.sum("_c").over(whole.orderBy("_part")) - F.col("_c"))
-    sizes = written(sizes.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_g_{c}") for c in group], "_n", (F.col("_before") - F.col("_first")).alias("_shift")))
+    sizes = cut(sizes.select(F.col("_part").alias("_p"), *[F.col(c).alias(f"_g_{c}") for c in group], "_n", (F.col("_before") - F.col("_first")).alias("_shift")))
     same = F.col("_part") == F.col("_p")
     for c in group:
         same = same & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
@@ -125,7 +125,7 @@ def grown(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     below = []
     while True:
         below.append(nodes)
-        nodes = written(_up(nodes))
+        nodes = cut(_up(nodes))
         if nodes.where("_n > 1").isEmpty():
             return below, nodes
 
@@ -163,29 +163,29 @@ def manifest(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, key: str = "do
     leaves = docs.select(F.col(key).alias("_key"), F.col(source).alias("_source"), leaf_of([F.col(c) for c in columns]).alias("_digest"), (
         F.when(tampered[0], leaf_of([tampered[1].get(c, F.col(c)) for c in columns])) if tampered else F.lit(None).cast("string")
     ).alias("_changed"))
-    leaves = placed(written(leaves), ["_source"], ["_key", "_digest"])
+    leaves = placed(cut(leaves), ["_source"], ["_key", "_digest"])
     sources = placed(leaves.select("_source").distinct(), [], ["_source"])
-    sources = written(sources.select(F.col("_source").alias("_name"), F.col("_pos").alias("_tree"), F.col("_n").alias("_trees")))
+    sources = cut(sources.select(F.col("_source").alias("_name"), F.col("_pos").alias("_tree"), F.col("_n").alias("_trees")))
     few = sources.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
     names = sources.select("_name", "_tree")
     if few:
         leaves = leaves.join(F.broadcast(names), F.col("_source").eqNullSafe(F.col("_name")))
     else:  # a source's rows are dealt over as many parts as it has blocks
         parts = leaves.groupBy(F.col("_source").alias("_s"), F.expr(f"_pos div {BLOCK}").alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-        names = written(parts.join(names, F.col("_s").eqNullSafe(F.col("_name"))).select("_name", "_b", "_tree"))
+        names = cut(parts.join(names, F.col("_s").eqNullSafe(F.col("_name"))).select("_name", "_b", "_tree"))
         leaves = leaves.join(names, F.col("_source").eqNullSafe(F.col("_name")) & (F.expr(f"_pos div {BLOCK}") == F.col("_b"))).drop("_b")
-    leaves = written(leaves.drop("_name").withColumn("_block", F.expr(f"_pos div {BLOCK}")))
+    leaves = cut(leaves.drop("_name").withColumn("_block", F.expr(f"_pos div {BLOCK}")))
     below, roots = grown(leaves)
     trees = sources.agg(F.max("_trees").alias("n")).first()["n"] or 0
-    tops = written(roots.select(F.lit(0).cast("long").alias("_tree"), F.col("_tree").alias("_pos"), F.lit(trees).cast("long").alias("_n"), "_digest"))
+    tops = cut(roots.select(F.lit(0).cast("long").alias("_tree"), F.col("_tree").alias("_pos"), F.lit(trees).cast("long").alias("_n"), "_digest"))
     above, root = grown(tops)
     # down again: the sources' siblings, then those of the blocks of each round
     paths = root.select("_tree", "_pos", F.array().cast(_PATH).alias("_path"))
     for nodes in reversed(above):
-        paths = written(_down(nodes, paths))
+        paths = cut(_down(nodes, paths))
     paths = paths.select(F.col("_pos").alias("_tree"), F.lit(0).cast("long").alias("_pos"), "_path")
     for nodes in reversed(below[1:]):
-        paths = written(_down(nodes, paths))
+        paths = cut(_down(nodes, paths))
     subroots = roots.select("_tree", "_digest")
     found = _proofs(leaves, paths.join(subroots, "_tree"), "_changed")
     name = root.first()  # one digest

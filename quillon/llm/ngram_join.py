@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import added_up, cut, join_counted, text_slices, utf8, written
+from .common import added_up, cut, drop, join_counted, text_slices, utf8
 
 SKETCH = 1 << 18
 SKETCH_BLOCKS = 64
@@ -247,24 +247,29 @@ def _verify(pairs: DataFrame, packs: DataFrame, percent: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(id, comp) of every linked id: the smallest id reachable, by hooking onto the smallest neighbour and pointer jumping."""
-    edges = written(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
+    edges = cut(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     at = None
     while not edges.isEmpty():
         # every component hooks onto the least neighbour; then pointers jump to roots
-        parent = written(edges.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p")))
+        parent = cut(edges.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("p")))
         while True:
             up = parent.select(F.col("x").alias("p"), F.col("p").alias("q"))
-            jumped = written(parent.join(up, "p", "left").select("x", F.coalesce("q", "p").alias("q"), "p"))
-            parent = jumped.select("x", F.col("q").alias("p"))
-            if jumped.where("q <> p").isEmpty():
+            jumped = cut(parent.select("x", "p").join(up, "p", "left").select("x", F.coalesce("q", "p").alias("q"), "p"))
+            drop(parent)
+            parent = cut(jumped.select("x", F.col("q").alias("p")))
+            settled = jumped.where("q <> p").isEmpty()
+            drop(jumped)
+            if settled:
                 break
         if at is None:
-            at = parent.select(F.col("x").alias("id"), F.col("p").alias("comp"))
+            at, over = cut(parent.select(F.col("x").alias("id"), F.col("p").alias("comp"))), None
         else:
-            at = written(at.join(parent.withColumnRenamed("x", "comp"), "comp", "left").select("id", F.coalesce("p", "comp").alias("comp")))
+            at, over = cut(at.join(parent.withColumnRenamed("x", "comp"), "comp", "left").select("id", F.coalesce("p", "comp").alias("comp"))), at
         a = parent.select("x", F.col("p").alias("px"))
         b = parent.select(F.col("x").alias("y"), F.col("p").alias("py"))
-        edges = written(edges.join(a, "x").join(b, "y").where("px <> py").select(F.col("px").alias("x"), F.col("py").alias("y")).distinct())
+        left = cut(edges.join(a, "x").join(b, "y").where("px <> py").select(F.col("px").alias("x"), F.col("py").alias("y")).distinct())
+        drop(edges, parent, *([over] if over else []))
+        edges = left
     return at if at is not None else links.select(F.col("x").alias("id"), F.col("y").alias("comp"))
 
 
@@ -274,9 +279,10 @@ def _within(size: str, at: str, least):
 
 
 def _candidates(open_: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """(x, y) of different components that meet in a short list; open_ has token, set, size, at, lead."""
+    """(x, y) of different components that meet in a short list; open_ has token, set, size, at, lead, n (the token's sets)."""
     named = join_counted(open_, comps.withColumn("_n", F.lit(1)).withColumnRenamed("id", "set"), "set", "_n", "left").withColumn("comp", F.coalesce("comp", "set"))
-    named = cut(named.drop("lead").join(named.where("set = lead").select("token", F.col("comp").alias("most")), "token"))
+    leads = named.where("set = lead").select("token", F.col("comp").alias("most"), F.col("n").alias("_n"))
+    named = cut(join_counted(named.drop("lead", "n"), cut(leads), "token", "_n"))
     y = named.select("token", F.col("set").alias("y"), F.col("size").alias("sy"), F.col("at").alias("ay"), F.col("comp").alias("cy"))
     x = named.where("comp <> most").select("token", F.col("set").alias("x"), F.col("size").alias("sx"), F.col("at").alias("ax"), F.col("comp").alias("cx"), "most")
     least = F.expr(f"(({percent} * (sx + sy) + {99 + percent}) div {100 + percent})")
@@ -293,17 +299,20 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     sets = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("least"), F.first(F.struct("mark", "size", "bits", "tokens")).alias("_s"))
     sets = cut(sets.select("sig", "_n", "least", "_s.*", F.monotonically_increasing_id().alias("set")))
     lists = sets.select("set", "size", F.posexplode("tokens").alias("at", "token"))
-    shared = cut(lists.groupBy("token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
-    open_ = cut(join_counted(lists, shared, "token", "_n"))
-    leads = open_.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.col("at") / F.col("size"), "set", "size", "at")).alias("_l"))
-    open_ = cut(join_counted(open_, leads.select("token", "_n", F.col("_l.set").alias("lead"), F.col("_l.size").alias("lsize"), F.col("_l.at").alias("lat")), "token", "_n"))
+    leads = lists.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.col("at") / F.col("size"), "set", "size", "at")).alias("_l")).where("_n > 1")
+    leads = cut(leads.select("token", "_n", F.col("_n").alias("n"), F.col("_l.set").alias("lead"), F.col("_l.size").alias("lsize"), F.col("_l.at").alias("lat")))
+    open_ = cut(join_counted(lists, leads, "token", "_n"))
+    drop(leads)
 
     def verified(pairs: DataFrame) -> DataFrame:
         asked = pairs.select(F.col("x").alias("set")).unionByName(pairs.select(F.col("y").alias("set"))).distinct().withColumn("_n", F.lit(1))
         wanted = cut(join_counted(sets.select("set", "sig", "mark", "size", "bits"), cut(asked), "set", "_n"))
         pairs = cut(_plausible(pairs, wanted, percent))
         asked = pairs.select(F.col("x").alias("set")).unionByName(pairs.select(F.col("y").alias("set"))).distinct()
-        return cut(_verify(pairs, _packs(docs, cut(wanted.select("set", "sig", "mark").join(asked, "set", "left_semi")), sketch, n), percent))
+        fetched = cut(wanted.select("set", "sig", "mark").join(asked, "set", "left_semi"))
+        out = cut(_verify(pairs, _packs(docs, fetched, sketch, n), percent))
+        drop(wanted, pairs, fetched)
+        return out
 
     # 1: each set against the leader of each of its lists, the one most of them share
     least = F.expr(f"(({percent} * (size + lsize) + {99 + percent}) div {100 + percent})")
@@ -313,13 +322,16 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     links = verified(cut(stars))
 
     # 2: the exact merge, across components
-    pairs = cut(_candidates(open_.select("token", "set", "size", "at", "lead"), components(links), percent))
+    pairs = cut(_candidates(open_.select("token", "set", "size", "at", "lead", "n"), components(links), percent))
+    drop(open_)
     if not pairs.isEmpty():
         links = cut(links.unionByName(verified(pairs)))
     comps = components(links)
 
     linked = join_counted(sets.select("set", "least"), comps.select(F.col("id").alias("set"), "comp", F.lit(1).alias("_n")), "set", "_n")
-    named = linked.join(linked.groupBy("comp").agg(F.min("least").alias("name")), "comp").select("set", "name", F.lit(1).alias("_n"))
+    linked = cut(linked)
+    names = cut(linked.groupBy("comp").agg(F.min("least").alias("name"), F.count(F.lit(1)).alias("_n")))
+    named = join_counted(linked, names, "comp", "_n").select("set", "name", F.lit(1).alias("_n"))
     shown = join_counted(sets.select("set", "sig", "_n", "least"), named.withColumnRenamed("_n", "_m"), "set", "_m", "left")
     shown = cut(shown.where("_n > 1 OR name IS NOT NULL").select("sig", "_n", F.coalesce("name", "least").alias("name")))
     out = join_counted(rows.where("sig IS NOT NULL").drop("tokens", "mark", "bits"), shown, "sig", "_n", "left")

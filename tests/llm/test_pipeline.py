@@ -16,6 +16,23 @@ def test_near_copies_at_five_words_and_0_8(spark):
     assert {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()} == {1, 3}
 
 
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    words = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    a, c, d, e = map(words, "acde")
+    rows = [(5, a), (None, a + " x"), (None, c), (None, c + " y"), (7, a), (7, d), (9, d + " e"), (None, e), (None, e), (3, ""), (None, ""), (None, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], SCHEMA)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()]
+    (kept_c,) = [t for _, t in got if t and t.startswith("c0 ")]
+    assert kept_c in (c, c + " y")
+    assert sorted(map(str, got)) == sorted(map(str, [(5, a), (None, kept_c), (7, d), (None, e), (3, ""), (None, ""), (None, None), (4, None)]))
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_rows_get_their_own_verdicts(spark):
     """Rows that share an id, or have none, are kept or dropped each for itself."""
     good = [" ".join(f"word{(i * 7 + k * k) % 97}" for k in range(60)) for i in range(40)]
