@@ -1,7 +1,8 @@
 """The corpus pipeline: classifier, quality rules, near duplicates, mixing, packing.
 
 Each stage reads what its predecessor kept and wrote. Null texts count as empty; the stages keep the columns of documents
-until the last, which returns packed pieces. SQL can express the mixing alone, so there is none for the whole.
+until the last, which returns packed pieces. Texts of any length go through whole; empty tables give empty stages, and
+without labels every score is one half, so nothing passes. SQL can express the mixing alone, so there is none for the whole.
 """
 
 from __future__ import annotations
@@ -41,12 +42,14 @@ def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates (five words, 0.8) stays, of equal rows one. Rows without
-    an id stay where nothing with one is like them."""
-    docs = docs.select(*COLUMNS)
-    groups = near_groups(docs.select("doc_id", "text"), n=5, percent=80)
-    first = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group of near duplicates (five words, 0.8) stays: the one with the smallest id, those without an id last,
+    of one id the one whose text has the smallest hash, and of equal rows one. Groups are told by id and text, not by the id alone."""
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    docs = docs.select(*COLUMNS, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), digest.alias("digest"), F.col("text").isNull().alias("null")).alias("_key"))
+    groups = near_groups(docs.select("_key", "text"), key="_key", n=5, percent=80)
+    same = lambda c: F.sha2(F.to_json(c).cast("binary"), 256)
+    first = groups.where("_key <=> component_id").select(same(F.col("_key")).alias("_row")).distinct()
+    return docs.withColumn("_row", same(F.col("_key"))).join(first, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
