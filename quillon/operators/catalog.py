@@ -11,15 +11,32 @@ from quillon.operators.shared import cut
 WINDOW_ROWS = 500_000  # rows of one key that a single task may sort
 
 
+def required_hash8(sha: Column, path: Column) -> Column:
+    """The first eight hex digits of a content hash, in lower case; an error where there are fewer."""
+    digits = N.hash8(sha)
+    problem = F.concat(F.lit("no eight hex digits in the hash of "), F.coalesce(path, F.lit("a file")))
+    return F.when(F.length(digits) == 8, digits).otherwise(F.raise_error(problem).cast("string"))
+
+
+def with_compliance(target: DataFrame) -> DataFrame:
+    """target (path, folder, name, ...) with compliant: a numbered safe name in a volume."""
+    return target.withColumn("compliant", N.volume_index(F.col("folder")).isNotNull() & N.lenient_index(F.col("name")).isNotNull() & N.safe_name(F.col("name")))
+
+
+def first_path() -> Column:
+    return F.min_by("path", F.struct(F.split("path", "/"), "path"))
+
+
 def sync_diff(source: DataFrame, target: DataFrame) -> DataFrame:
     """source (path, sha) against target (path, folder, name, sha): one row per path with its action.
 
-    Targets that comply are known by the eight hash digits in their names; the others by their whole content hash.
+    Targets that comply are known by the eight hash digits in their names; the others by their whole content hash. A source
+    hash with fewer than eight hex digits is an error.
     """
-    target = target.withColumn("compliant", N.volume_index(F.col("folder")).isNotNull() & N.lenient_index(F.col("name")).isNotNull() & N.safe_name(F.col("name")))
+    target = with_compliance(target)
     short = target.where("compliant").select(N.hash8_of_name(F.col("name")).alias("h8")).where("h8 IS NOT NULL").groupBy("h8").agg(F.lit(True).alias("held"))
-    whole = target.where("NOT compliant").groupBy("sha").agg(F.min_by("path", F.struct(F.split("path", "/"), "path")).alias("displaced_from"))
-    rows = source.withColumn("h8", N.hash8(F.col("sha"))).join(short, "h8", "left").join(whole, "sha", "left")
+    whole = target.where("NOT compliant").groupBy("sha").agg(first_path().alias("displaced_from"))
+    rows = source.withColumn("h8", required_hash8(F.col("sha"), F.col("path"))).join(short, "h8", "left").join(whole, "sha", "left")
     action = F.when(F.col("held"), "skip").when(F.col("displaced_from").isNotNull(), "displaced").otherwise("new")
     rows = rows.select("path", action.alias("action"), F.when(F.col("held").isNull(), F.col("displaced_from")).alias("displaced_from"))
     moved = rows.where("displaced_from IS NOT NULL").select(F.col("displaced_from").alias("path")).distinct()

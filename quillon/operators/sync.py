@@ -37,11 +37,16 @@ def summary(source: DataFrame, target: DataFrame, known: DataFrame) -> DataFrame
     """One row: skipped, to_process, displaced, untracked, max_index, volumes, next_index."""
     tagged = sync_diff(source, target).where("action <> 'untracked'")
     moved = tagged.where("action = 'displaced'").select(F.col("displaced_from").alias("path"))
+    return summed(tagged, target, untracked(target, moved, known), known)
+
+
+def summed(tagged: DataFrame, target: DataFrame, lost: DataFrame, known: DataFrame) -> DataFrame:
+    """The counts of `summary` from tagged source rows (path, action) and untracked target rows."""
     counts = tagged.agg(
         F.count_if(F.col("action") == "skip").alias("skipped"), F.count_if(F.col("action") != "skip").alias("to_process"), F.count_if(F.col("action") == "displaced").alias("displaced")
     )
     held = complying(target).where("complies").agg(F.coalesce(F.max("idx"), F.lit(0)).alias("max_index"), F.count_distinct("volume").alias("volumes"))
-    lost = untracked(target, moved, known).agg(F.count(F.lit(1)).alias("untracked"))
+    lost = lost.agg(F.count(F.lit(1)).alias("untracked"))
     named = known.agg(F.coalesce(F.max(N.lenient_index(F.col("name"))), F.lit(0)).alias("_named"))
     whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (counts, held, lost, named))  # one row each
     whole = whole.agg(*[F.max(c).alias(c) for c in whole.columns])

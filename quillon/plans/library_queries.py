@@ -60,7 +60,7 @@ CHECKPOINT = Bound(
     error="CASE WHEN o_orderkey % 13 = 0 THEN 'Skipped_DRM' WHEN o_orderkey % 17 = 0 THEN 'x' END",
 )
 DISK = Bound("orders", "o_orderkey % 7 <> 3", path=_DISK_PATH, sha=_OWN, size="CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE 5 END")
-_ODD = "'/' || CASE p_partkey % 8 WHEN 0 THEN '+++ 000 ' || p_name || ' spot.MP3' WHEN 1 THEN '0 ' || p_name || ' - x (2).mp3' WHEN 2 THEN 'AUDIOMOVIL.2021 ' || p_name || ' - aUdIoMoViL.2021.flac' WHEN 3 THEN '(AUDIOMOVIL2019).mp3' WHEN 4 THEN p_partkey || '.ogg' WHEN 5 THEN p_name || ' [Safari Music].wav' WHEN 6 THEN p_name || '_-_' ELSE '048_mi_cancion_____deadbeef.mp3' END"
+_ODD = "'/' || CASE p_partkey % 8 WHEN 0 THEN '+++ 000 ' || p_name || ' spot.MP3' WHEN 1 THEN '0 ' || p_name || ' - x (2).mp3' WHEN 2 THEN 'AUDIOMOVIL.2021 ' || p_name || ' - aUdIoMoViL.2021.flac' WHEN 3 THEN '(AUDIOMOVIL2019).mp3' WHEN 4 THEN p_partkey || '.ogg' WHEN 5 THEN p_name || ' [Safari Music].wav' WHEN 6 THEN p_name || '_-_' ELSE '207_barrio_sur______0badcafe.mp3' END"
 NAMES = Bound("part", p_partkey="p_partkey", raw=f"'in'||{_ODD}", sha="CASE WHEN p_partkey % 6 = 0 THEN 'not-a-sha' ELSE SHA(p_name) END")
 FILE_NAMES = Bound("part", p_partkey="p_partkey", name=f"substr({_ODD}, 2)")
 _ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -95,6 +95,26 @@ def sanitize_names(spark, sf_dir):
     return NAMES.frame(spark, sf_dir).select("p_partkey", "raw", S.sanitized(F.col("raw")).alias("clean"))
 
 
+_SCRIPTS = "CASE doc_id % 7 WHEN 0 THEN 'Тёплый вечер ' || doc_id || '.mp3' WHEN 1 THEN 'Νύχτα ' || doc_id || '.flac' WHEN 2 THEN 'さくらカゼ' || doc_id WHEN 3 THEN '001 - 🎧 ' || doc_id || '.ogg' WHEN 4 THEN '서울 밤 ' || doc_id || '.mp3' WHEN 5 THEN '夜 ' || doc_id || '.mp3' ELSE 'Œuvre Łódź ñ' || doc_id || '.mp3' END"
+SCRIPT_NAMES = Bound("documents", doc_id="doc_id", raw=_SCRIPTS)
+_SPELLED = ", ".join(f"'{c}': '{(S.spellings() | S.SPELLED | dict(zip(S._FROM, S._TO)))[c]}'" for c in sorted(set(re.findall(r"[^\x00-\x7f]", _SCRIPTS)) - set("夜")))
+_SCRIPT_ROWS = f"(SELECT *, array_to_string(list_transform(string_split(raw, ''), lambda c: coalesce((MAP {{{_SPELLED}}})[c], c)), '') AS spelled FROM {SCRIPT_NAMES})"
+
+
+@query(f"SELECT doc_id, raw, clean FROM {_sanitized_sql(_SCRIPT_ROWS, 'spelled')}")
+def names_in_other_scripts(spark, sf_dir):
+    return SCRIPT_NAMES.frame(spark, sf_dir).select("doc_id", "raw", S.sanitized(F.col("raw")).alias("clean"))
+
+
+_PARTS = rf"(SELECT *, regexp_replace(nm, '^(.+)\.[^.]*$', '\1') AS st, regexp_extract(nm, '^.+\.([^.]*)$', 1) AS ex FROM (SELECT *, regexp_extract(raw, '([^/]*)/*$', 1) AS nm FROM {NAMES}))"
+_PARTS = f"(SELECT p_partkey, raw, clean AS cs, ex AS part FROM {_sanitized_sql(_PARTS, 'st')})"
+
+
+@query(f"SELECT p_partkey, raw, CASE WHEN length(e) >= 32 THEN substr(cs, 1, 32) ELSE substr(cs, 1, (32 - length(e))::INT) || e END AS name FROM (SELECT *, '.' || regexp_replace(clean, '[^A-Za-z0-9_-]', '', 'g') AS e FROM {_sanitized_sql(_PARTS, 'part')})")
+def transfer_names(spark, sf_dir):
+    return NAMES.frame(spark, sf_dir).select("p_partkey", "raw", S.transferred(F.col("raw")).alias("name"))
+
+
 @query(rf"""SELECT p_partkey, printf('%04d_', p_partkey) || substr(regexp_replace(clean, '^(.+)\.[^.]*$', '\1'), 1, (32 - length(printf('%04d_', p_partkey)) - length(tail))::INT) || tail AS name
 FROM (SELECT *, CASE WHEN regexp_matches(clean, '^.+\.[^.]+$') THEN '.' || regexp_extract(clean, '^.+\.([^.]*)$', 1) ELSE '' END AS tail FROM {_CLEAN})""")
 def sequential_prefix(spark, sf_dir):

@@ -5,7 +5,6 @@ from quillon.functions.paths import contained
 from quillon.operators.catalog import sync_diff  # noqa: F401
 from quillon.operators.collisions import resolve
 from quillon.sources.state import StateError, read_journal, write_json
-from quillon.streaming.sync import stream_sync_diff
 
 
 def test_containment(spark):
@@ -25,11 +24,3 @@ def test_journal(spark, tmp_path):
     write_json(path, {"version": 2, "transactions": []})
     with pytest.raises(StateError):
         read_journal(spark, path)
-
-
-def test_stream(spark, tmp_path):
-    spark.createDataFrame([("a", "a" * 64), ("b", "b" * 64)], "path string, sha string").write.parquet(str(tmp_path / "in"))
-    target = spark.createDataFrame([("VOL_01/1_x_aaaaaaaa.mp3", "VOL_01", "1_x_aaaaaaaa.mp3", "-")], "path string, folder string, name string, sha string")
-    source = spark.readStream.schema("path string, sha string").parquet(str(tmp_path / "in"))
-    stream_sync_diff(source, target, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    assert {(r.path, r.action) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("a", "skip"), ("b", "new")}
