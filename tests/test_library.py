@@ -12,7 +12,7 @@ from quillon.operators import state as T
 from quillon.operators import sync as Y
 from quillon.operators import verify as V
 from quillon.operators.collisions import beside, resolve
-from quillon.sources import copying, scan
+from quillon.sources import scan
 from quillon.sources import state as documents
 
 
@@ -181,19 +181,6 @@ def test_scan(spark, tmp_path):
         scan.audio_files(spark, root + "/none").count()
 
 
-def test_copies_and_quarantine(spark, tmp_path):
-    for n in ("a", "b"):
-        (tmp_path / n).write_text(n * 100_000)
-    at = lambda *p: str(tmp_path.joinpath(*p))
-    plan = spark.createDataFrame([(at("a"), at("out", "x", "a")), (at("gone"), at("out", "gone"))], "source string, target string")
-    got = {os.path.basename(r.source): r for r in copying.copied(plan).collect()}
-    assert got["a"].sha == hashlib.sha256(b"a" * 100_000).hexdigest() and got["a"].bytes == 100_000 and got["gone"].error and not os.path.exists(at("out", "gone"))
-    moves = spark.createDataFrame([(at("b"), at("q", "b"))], "source string, target string")
-    for _ in range(2):  # a repeated task finds the file moved already
-        assert [r.error for r in copying.quarantined(moves, at("backup")).collect()] == [None]
-    assert not os.path.exists(at("b")) and os.path.exists(at("q", "b")) and os.path.exists(at("backup", "b"))
-
-
 def test_documents(spark, tmp_path):
     at = str(tmp_path / "d.json")
     assert documents.read_or_create_journal(spark, at).count() == 0 and os.path.exists(at)
