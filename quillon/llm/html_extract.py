@@ -3,9 +3,14 @@
 Paragraphs pass points (length, commas, discounted by link density) to their ancestors; the best container is kept with
 the siblings that score near it. Where an article or main element encloses the best container, that element is the
 container: it is how pages mark their text, and headings or short paragraphs outside the best part of it are kept so. Its
-siblings then are elements of the same name. Containers named as menus, notices, comments and the like are left out, but
-not one that merely says `with-sidebar` or holds the page's article. Null or empty html gives an empty string; unclosed
-tags close where their block does, raw ones at the end; repeated rows each give their own result. Time is linear in the page.
+siblings then are elements of the same name. Tags and names of menus, forms, notices, comments and the like only lower the
+points of what they hold. One that holds the page's article, or, on a page without an article or main element, more than
+HOLDER of its points (a form around a whole page), is none of these; menus, footers and comments stay what they are. Inside the chosen container what is named so is
+left out; a name that merely contains such a word (`related-work`, `alert-lead`) leaves out nothing but links.
+
+Null or empty html gives an empty string; unclosed tags close where their block does, raw ones at the end; repeated rows
+each give their own result; an empty table gives no rows; every column is kept, but one named as the added column is
+replaced. Time is linear in the page.
 """
 
 from __future__ import annotations
@@ -37,15 +42,21 @@ _NOISE = frozenset(
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 _PARAGRAPH = frozenset("p pre td blockquote li dd dt h1 h2 h3 h4 h5 h6 div section article main".split())
+_HARD = _RAW | _ISLANDS | frozenset("noscript template object head canvas audio video".split())  # no text of the page
+#: What may stand beside a word of _NOISE in a name that is all noise.
+_PLAIN = frozenset("box block list container wrapper wrap bar section area slot unit site page main top bottom left right global item items link links button buttons content inner outer posts post articles stories module panel first last primary secondary icon icons text thread form group row col js".split())
 SIBLING_SHARE = 0.2
+LOWER = {"": 1.0, "weak": 0.5, "soft": 0.1, "remarks": 0.01}  # points that are left of a paragraph in an element of this kind
+HOLDER = 0.75
+_NEVER = frozenset("nav footer aside button menu dialog label".split())  # hold no page
 _RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "kids", "score", "gone")
+    __slots__ = ("tag", "parent", "kids", "score", "kind", "points", "weight")
 
-    def __init__(self, tag: str, parent: _Node | None, gone: bool = False):
-        self.tag, self.parent, self.kids, self.score, self.gone = tag, parent, [], 0.0, gone
+    def __init__(self, tag: str, parent: _Node | None, kind: str = ""):
+        self.tag, self.parent, self.kids, self.score, self.kind, self.points, self.weight = tag, parent, [], 0.0, kind, 0.0, 1.0
 
 
 _REMARKS = frozenset("comment comments commentlist disqus reply replies respond".split())
@@ -53,20 +64,22 @@ _COMPOUND = re.compile(r"(?:with|has|no|without)[-_](\S+)")
 
 
 def _noisy(attrs: str) -> str:
-    """Why an element is left out: "remarks", "noise" or nothing."""
+    """What an element's attributes make of it: "gone" (hidden), "remarks", "soft", "weak" or nothing."""
     if not attrs or attrs.isspace():
         return ""
     found = ""
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
-            words = set(re.split(r"[^a-z0-9]+", _COMPOUND.sub(" ", value)))
-            if words & _NOISE:
-                found = "remarks" if words & _REMARKS else found or "noise"
-        elif name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            found = "remarks"
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            found = "remarks"
+            for token in _COMPOUND.sub(" ", value).split():
+                words = set(re.split(r"[^a-z0-9]+", token)) - {""}
+                if words & _NOISE:
+                    kind = "weak" if any(w not in _NOISE and w not in _PLAIN and not w.isdigit() for w in words) else "remarks" if words & _REMARKS else "soft"
+                    found = min(found or kind, kind, key=LOWER.get)
+        elif name == "role" and value in _ROLES:
+            found = min(found or "soft", "soft", key=LOWER.get)
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return "gone"
     return found
 
 
@@ -78,7 +91,9 @@ class _Tree:
         self.open = [self.root]
         self.where: dict[str, list[int]] = {}
         self.blocks: list[int] = []
-        self.noise: list[int] = []  # places of open elements that are left out for their names
+        self.noise: list[int] = []  # places of open elements whose points are lowered for their names
+        self.nodes = [self.root]  # parents before children
+        self.marked = False  # whether an article or main element stands anywhere
 
     def last(self, names) -> int:
         return max((self.where[n][-1] for n in names if self.where.get(n)), default=0)
@@ -112,14 +127,20 @@ class _Tree:
                 while self.open[place - 1].tag in _ITEM[tag]:
                     place -= 1
                 self.up(place)
-        why = "tag" if tag in _GONE else _noisy(attrs)
-        node = _Node(tag, self.open[-1], bool(why))
+        kind = "gone" if tag in _HARD else _noisy(attrs)
+        if kind in ("", "weak") and tag in _GONE:
+            kind = "soft"
+        if kind in ("soft", "remarks") and tag not in _BLOCK:
+            kind = "gone"
+        node = _Node(tag, self.open[-1], kind)
         self.open[-1].kids.append(node)
-        if tag in ("article", "main") and not why:
+        self.nodes.append(node)
+        if tag in ("article", "main") and not kind:
+            self.marked = True
             while self.noise:  # a holder of the article is no menu, whatever it is called
-                self.open[self.noise.pop()].gone = False
+                self.open[self.noise.pop()].kind = ""
         if tag not in _VOID and tag not in _RAW and not attrs.endswith("/"):
-            if why == "noise":
+            if kind == "weak" or kind == "soft" and (tag == "form" or tag not in _GONE):
                 self.noise.append(len(self.open))
             self.down(node)
 
@@ -129,7 +150,7 @@ class _Tree:
             self.up(place)
 
 
-def _parse(source: str) -> _Node:
+def _parse(source: str) -> _Tree:
     tree = _Tree()
     at, end, closing = 0, len(source), source.rfind(">")
     text = 0  # where the text not yet taken begins
@@ -165,7 +186,7 @@ def _parse(source: str) -> _Node:
                 endless.add(tag)
     if end > text:
         tree.open[-1].kids.append(source[text:])
-    return tree.root
+    return tree
 
 
 def _blocks(top: _Node) -> list[tuple[_Node, str, int]]:
@@ -198,7 +219,7 @@ def _blocks(top: _Node) -> list[tuple[_Node, str, int]]:
             run.append(kid)
             if linked:
                 state["links"] += len(kid.strip())
-        elif kid.gone:
+        elif kid.kind == "gone":
             if kid.tag in _BLOCK:
                 flush(owner)
         elif kid.tag in ("br", "wbr"):
@@ -215,17 +236,27 @@ def extract(source: str | None) -> str:
     """Article text of one page."""
     if not source:
         return ""
-    root = _parse(source)
-    blocks = _blocks(root)
+    tree = _parse(source)
+    root, blocks, points = tree.root, _blocks(tree.root), {}
+    for i, (block, text, links) in enumerate(blocks):
+        if block.tag in _PARAGRAPH or block.tag in _GONE or block is root:
+            points[i] = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - min(links / len(text), 1))
+            block.points += points[i]
+    for node in reversed(tree.nodes[1:]):
+        if node.kind != "remarks":
+            node.parent.points += node.points
+    for node in tree.nodes[1:]:
+        if node.kind == "soft" and node.tag not in _NEVER and not tree.marked and node.points > HOLDER * root.points:
+            node.kind = ""
+        node.weight = node.parent.weight * LOWER.get(node.kind, 1.0)
     scored = []
-    for block, text, links in blocks:
-        if block.tag in _PARAGRAPH or block is root:
-            points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - min(links / len(text), 1))
+    for i, (block, text, links) in enumerate(blocks):
+        if i in points:
             up, share = block if block.tag in ("div", "section", "article", "main") else block.parent or block, 1.0
             while up is not None and share > 0.1:
                 if not up.score:
                     scored.append(up)
-                up.score += points * share
+                up.score += points[i] * share * block.weight
                 up, share = up.parent, share / 2
     if not scored:
         return ""
@@ -237,27 +268,29 @@ def extract(source: str | None) -> str:
         keep = {id(article)}
         if article.parent is not None:
             for kid in article.parent.kids:
-                if isinstance(kid, _Node) and kid.tag == article.tag and not kid.gone and kid.score >= max(SIBLING_SHARE * article.score, 1):
+                if isinstance(kid, _Node) and kid.tag == article.tag and kid.kind in ("", "weak") and kid.score >= max(SIBLING_SHARE * article.score, 1):
                     keep.add(id(kid))
     else:
         keep = {id(best)}
         if best.parent is not None:
             for kid in best.parent.kids:
-                if isinstance(kid, _Node) and not kid.gone and kid.score >= max(SIBLING_SHARE * best.score, 3):
+                if isinstance(kid, _Node) and kid.kind in ("", "weak") and kid.score >= max(SIBLING_SHARE * best.score, 3):
                     keep.add(id(kid))
             for block, text, links in blocks:
-                if block.parent is best.parent and block.tag in ("p", "h1", "h2", "pre", "blockquote") and links < len(text) / 4:
+                if block.parent is best.parent and block.kind in ("", "weak") and block.tag in ("p", "h1", "h2", "pre", "blockquote") and links < len(text) / 4:
                     keep.add(id(block))
     kept = []
-    inside: dict[int, bool] = {}
-    for block, text, _ in blocks:
+    inside: dict[int, str] = {}  # of elements seen: "" outside, else kept, or kept but for its links
+    for block, text, links in blocks:
         chain, up = [], block
         while up is not None and id(up) not in inside and id(up) not in keep:
-            chain.append(id(up))
+            chain.append(up)
             up = up.parent
-        hit = up is not None and (id(up) in keep or inside[id(up)])
-        inside.update(dict.fromkeys(chain, hit))
-        if hit:
+        at = "" if up is None else inside.get(id(up), "kept")
+        for node in reversed(chain):
+            at = "" if node.kind in ("soft", "remarks") else "prose" if at and node.kind == "weak" else at
+            inside[id(node)] = at
+        if at == "kept" or at == "prose" and links < len(text) / 4:
             kept.append(text)
     return "\n\n".join(kept)
 

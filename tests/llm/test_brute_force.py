@@ -28,6 +28,15 @@ PAGES = {
     "<article><p>a\n\t b<br>c</p><ul><li>x<li>y</ul></article>": "a b c\n\nx\n\ny",
     "<p>broken <a href='x'": "broken <a href='x'",
     "<main><p title='a > b'>kept</p></main><footer><p>not kept</p></footer>": "kept",
+    "<form id=aspnet><div class=menu><a href=x>a</a></div><div><p>some text, in a form, that is the page</p><p>more of it, here</p></div></form><footer><p>imprint</p></footer>": "some text, in a form, that is the page\n\nmore of it, here",
+    "<article><h1>T</h1><p>one, two, three</p><section class='related-work'><h2>Related work</h2><p>others did this, and that</p></section></article>": "T\n\none, two, three\n\nRelated work\n\nothers did this, and that",
+    "<article><p class='alert-lead'>lead, of it</p><p>body, of it, and more</p></article>": "lead, of it\n\nbody, of it, and more",
+    "<article><p>one, two, three</p><div class='related'><p>see this, and that</p></div><div class='related-links'><a href=x>x</a></div></article>": "one, two, three",
+    "<article><p>one, two</p></article><div class='comments'><p>I, as a reader, think so</p><p>me, too, and more, and more, and still more of it</p><p>a, b, c, d, e, f, g</p></div>": "one, two",
+    "<div><p>text, of the page, here it is</p></div><form><label>Name</label><p>send us a word</p><button>go</button></form>": "text, of the page, here it is",
+    "<div><p>text, of the page</p><p hidden>not, shown, at, all, to, anyone</p></div>": "text, of the page",
+    "<aside id='sidebar'><article><p>the article, in a holder, with a name</p></article></aside>": "the article, in a holder, with a name",
+    "<div class='share-bar'><p>share, this, page, now</p></div><div><p>a text, of, the, page</p></div>": "a text, of, the, page",
 }
 
 
