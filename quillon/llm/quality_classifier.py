@@ -3,7 +3,8 @@
 Every passage of a text is encoded from its bytes; gated attention, learned from document labels, weighs the passages,
 and a logistic layer scores the weighted mean. Null and empty texts are one empty passage. The model is fitted in one task
 on at most FIT_DOCS labelled texts of at most FIT_BYTES (those of smallest hash); the driver gets its parameters alone. It
-scores every text in whole.
+scores every text in whole, AT_ONCE passages at a time, so a text of any length takes the same memory beside its own bytes.
+A column named as the added one is replaced, all others stay; an empty table gives no rows.
 Contradicting labels of an id average; repeated rows of an id count as often as they stand; labels without an id or a
 quality are not used; without labels every score is one half.
 """
@@ -23,34 +24,49 @@ from .common import crc_of_id
 FIT_DOCS = 4000
 FIT_BYTES = 1 << 17
 PASSAGE = 512
+AT_ONCE = 2048  # passages that are worked on together
 HASHED = 128
 DIMS = 256 + HASHED + 3
 HIDDEN, GATE = 16, 16
 _MIX = np.uint32(2654435761)
 
 
-def passages(text: str | None) -> np.ndarray:
-    """One row per passage of PASSAGE bytes: roots of byte and hashed byte-pair shares, length, repeats, emptiness."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    n = len(raw)
-    if not n:
-        out = np.zeros((1, DIMS), dtype=np.float32)
-        out[0, -1] = 1
-        return out
+def _features(raw: np.ndarray, n: int) -> np.ndarray:
+    """One row per passage of PASSAGE bytes of the first n: roots of byte and hashed byte-pair shares, length, repeats, emptiness.
+    Pairs and grams belong to the passage that they begin in; raw goes on for three bytes behind n, if the text does."""
     m = -(-n // PASSAGE)
     row = np.arange(n) // PASSAGE
     size = np.bincount(row, minlength=m).astype(np.float32)[:, None]
-    single = np.bincount(row * 256 + raw, minlength=m * 256).reshape(m, 256)
-    pair = (raw[:-1].astype(np.uint32) << np.uint32(8) | raw[1:]) * _MIX >> np.uint32(25)
-    double = np.bincount(row[:-1] * HASHED + pair, minlength=m * HASHED).reshape(m, HASHED)
-    extra = np.empty((m, 3), dtype=np.float32)
+    single = np.bincount(row * 256 + raw[:n], minlength=m * 256).reshape(m, 256)
+    pairs, grams = min(n, len(raw) - 1), max(min(n, len(raw) - 3), 0)
+    pair = (raw[:pairs].astype(np.uint32) << np.uint32(8) | raw[1 : pairs + 1]) * _MIX >> np.uint32(25)
+    double = np.bincount(row[:pairs] * HASHED + pair, minlength=m * HASHED).reshape(m, HASHED)
+    extra = np.zeros((m, 3), dtype=np.float32)
     extra[:, :1] = np.minimum(size / PASSAGE, 1)
-    gram = np.unique(row[:-3] * (1 << 16) + ((raw[:-3].astype(np.uint32) * 31 + raw[1:-2]) * 31 + raw[2:-1] * np.uint32(7) + raw[3:]) % (1 << 16)) if n > 3 else np.zeros(1, dtype=np.int64)
+    at = [raw[k : grams + k].astype(np.uint32) for k in range(4)]
+    gram = np.unique(row[:grams] * (1 << 16) + ((at[0] * 31 + at[1]) * 31 + at[2] * np.uint32(7) + at[3]) % (1 << 16))
+    if len(raw) <= 3:
+        gram = np.zeros(1, dtype=np.int64)
     extra[:, 1] = np.bincount(gram >> 16, minlength=m)[:m] / size[:, 0]
-    extra[:, 2] = 0
     return np.hstack([np.sqrt(single / size), np.sqrt(double / size), extra]).astype(np.float32)
 
 
+def passage_blocks(text: str | None) -> Iterator[np.ndarray]:
+    """The passages of a text, AT_ONCE at a time; an empty text has one, which says so."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    if not len(raw):
+        out = np.zeros((1, DIMS), dtype=np.float32)
+        out[0, -1] = 1
+        yield out
+    for at in range(0, len(raw), AT_ONCE * PASSAGE):
+        n = min(AT_ONCE * PASSAGE, len(raw) - at)
+        yield _features(raw[at : at + n + 3], n)
+
+
+def passages(text: str | None) -> np.ndarray:
+    return np.vstack(list(passage_blocks(text)))
+
+
 def _forward(w: dict, x: np.ndarray):
     h = np.tanh((x - w["mu"]) / w["sd"] @ w["E"] + w["e"])
     t, s = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
@@ -61,6 +77,20 @@ def _forward(w: dict, x: np.ndarray):
     return h, t, s, a, z, 1 / (1 + np.exp(-np.clip(z @ w["o"] + w["b"], -30, 30)))
 
 
+def scored(w: dict, blocks: Iterator[np.ndarray]) -> float:
+    """The score of one text, its passages weighed block by block: the weights' sum and the weighed passages' are scaled anew
+    whenever a block has a larger attention than all before."""
+    most, total, z = -np.inf, 0.0, np.zeros(HIDDEN)
+    for x in blocks:
+        h = np.tanh((x - w["mu"]) / w["sd"] @ w["E"] + w["e"])
+        a = (np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"])))) @ w["a"]
+        top = max(most, float(a.max()))
+        a = np.exp(a - top)
+        before = np.exp(most - top)
+        most, total, z = top, total * before + a.sum(), z * before + a @ h
+    return float(1 / (1 + np.exp(-np.clip(z / total @ w["o"] + w["b"], -30, 30)))[0])
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, epochs: int = 12, seed: int = 5, rate: float = 3e-3) -> dict:
     """Adam over the documents; the classes weigh by their share, as the score is a probability."""
     rng = np.random.default_rng(seed)
@@ -139,12 +169,12 @@ def score(docs: DataFrame, model: dict, text: str = "text", out: str = "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: DIMS x HIDDEN and smaller
 
     @F.pandas_udf("double")
-    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w = shared.value
         for batch in batches:
-            yield pd.Series([float(_forward(w, passages(t))[-1][0]) for t in batch])
+            yield pd.Series([scored(w, passage_blocks(t)) for t in batch], dtype=float)
 
-    return docs.withColumn(out, scored(F.col(text)))
+    return docs.withColumn(out, run(F.col(text)))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
