@@ -11,11 +11,13 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.functions import headers as H
 from quillon.functions import names as N
 from quillon.functions import sanitize as S
 from quillon.functions.paths import contained
 from quillon.operators import catalog as C
 from quillon.operators import devices as D
+from quillon.operators import guards as G
 from quillon.operators import reports as R
 from quillon.operators import state as T
 from quillon.operators import sync as Y
@@ -549,3 +551,75 @@ CANDIDATES = Bound("part", p_partkey="p_partkey", path="CASE p_partkey % 6 WHEN
 @query(f"SELECT p_partkey, p_partkey % 6 IN (3, 4, 5) AS contained, CASE p_partkey % 6 WHEN 0 THEN 'empty' WHEN 1 THEN 'traversal' WHEN 2 THEN 'traversal' WHEN 3 THEN 'shell' WHEN 4 THEN 'long' END AS problem FROM {CANDIDATES}")
 def name_and_path_checks(spark, sf_dir):
     return CANDIDATES.frame(spark, sf_dir).select("p_partkey", contained("mnt/usb", F.col("path")).alias("contained"), N.filename_problem(F.col("name")).alias("problem"))
+
+
+GUARDED = Bound("documents", doc_id="doc_id", target="'/mnt/' || source || CASE WHEN doc_id % 4 = 0 THEN '/./' ELSE '' END",
+                origin="CASE doc_id % 5 WHEN 0 THEN '/mnt//' || source || '/' WHEN 1 THEN '/mnt/' || source || '/music/../in' WHEN 2 THEN '/mnt/' || source || 'x/in' WHEN 3 THEN '/mnt/' || source || '/../other' ELSE '/home/' || doc_id END",
+                staging="CASE doc_id % 3 WHEN 0 THEN '/tmp/stage' WHEN 1 THEN '/mnt/' || source || '/a/../.stage' ELSE '/mnt/x/../' || source END")
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'same' WHEN doc_id % 5 = 1 THEN 'source_inside' WHEN doc_id % 3 IN (1, 2) THEN 'staging_inside' END AS problem FROM {GUARDED}""")
+def path_guards(spark, sf_dir):
+    return GUARDED.frame(spark, sf_dir).select("doc_id", G.path_problem(F.col("target"), F.col("origin"), F.col("staging")).alias("problem"))
+
+
+INNER = Bound("documents", path="'/lib/' || source || '/' || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN lang WHEN 2 THEN lang || '/' || doc_id ELSE '../' || source || '/./' || lang || '/x/' || doc_id END")
+OUTER = Bound("documents", path="CASE doc_id % 3 WHEN 0 THEN '/lib/' || source WHEN 1 THEN '/lib//' || source || '/' || lang || '/' ELSE '/li' END")
+_CLEAN_PATH = r"'/' || array_to_string(list_reduce(list_prepend([]::VARCHAR[], list_transform(string_split(path, '/'), lambda x: [x])), lambda a, b: CASE WHEN b[1] IN ('', '.') THEN a WHEN b[1] = '..' THEN a[1:len(a) - 1] ELSE a || b END), '/')"
+
+
+@query(f"""WITH i AS (SELECT DISTINCT path, {_CLEAN_PATH} AS c FROM {INNER}), o AS (SELECT DISTINCT path, {_CLEAN_PATH} AS c FROM {OUTER})
+SELECT i.path AS inner, o.path AS outer, (length(i.c) - length(replace(i.c, '/', '')) - length(o.c) + length(replace(o.c, '/', '')))::INT AS levels FROM i JOIN o ON i.c = o.c OR starts_with(i.c, o.c || '/')""".replace(" AS inner", ' AS "inner"').replace(" AS outer", ' AS "outer"'))
+def paths_inside_paths(spark, sf_dir):
+    return G.containments(INNER.frame(spark, sf_dir), OUTER.frame(spark, sf_dir))
+
+
+NEEDS = Bound("lineitem", kind="CASE l_linenumber % 3 WHEN 0 THEN 'root' WHEN 1 THEN 'new' ELSE 'untracked' END", source_size="CASE WHEN l_orderkey % 4 <> 0 THEN l_partkey END", target_size="CASE WHEN l_orderkey % 8 <> 0 THEN l_suppkey END")
+
+
+@query(f"SELECT kind, count(*) AS files, sum(coalesce(source_size, target_size, 0))::BIGINT AS bytes, CASE WHEN sum(coalesce(source_size, target_size, 0)) > 8000000 THEN sum(coalesce(source_size, target_size, 0))::BIGINT - 8000000 END AS missing FROM {NEEDS} GROUP BY kind")
+def space_needed(spark, sf_dir):
+    return G.required_bytes(NEEDS.frame(spark, sf_dir)).withColumn("missing", G.space_problem(F.col("bytes"), F.lit(8000000).cast("bigint")))
+
+
+@query(f"WITH c AS (SELECT max(o_orderkey // 50 + 1) AS v, arg_max(n, v) AS f FROM (SELECT o_orderkey // 50 + 1 AS v, count(*) AS n, any_value(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey < 1000 GROUP BY 1)), n AS (SELECT count(*) AS n FROM {SOURCE}), p AS (SELECT CASE WHEN f >= 50 THEN v + 1 ELSE v END AS v, CASE WHEN f >= 50 THEN 0 ELSE f END AS f FROM c) SELECT n AS files, (f + n - 1) // 50 - f // 50 + 1 AS volumes, ceil(n / 50.0)::BIGINT AS fewest FROM n, p")
+def planned_volume_count(spark, sf_dir):
+    counts = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey < 1000").groupBy(F.expr("o_orderkey div 50 + 1").alias("volume")).agg(F.count(F.lit(1)).alias("files"))
+    plan = Y.incremental_plan(SOURCE.frame(spark, sf_dir).select("path"), counts, [F.col("path")])
+    return G.planned_volumes(plan, N.PER_VOLUME)
+
+
+LOST = Bound("orders", "o_orderkey % 5 IN (1, 2) OR o_orderkey % 9 = 0", idx="CASE WHEN o_orderkey % 27 = 0 THEN -o_orderkey ELSE o_orderkey END")
+ROWS_LEFT = Bound("orders", idx="o_orderkey", name=_CK_NAME, path="'in/' || o_orderkey", checksum=f"CASE WHEN o_orderkey % 10 = 1 THEN SHA('wrong') WHEN o_orderkey % 10 <> 2 THEN {_OWN} END")
+HERE = Bound("orders", "o_orderkey % 6 <> 1", path="'in/' || o_orderkey", sha=_OWN)
+
+
+@query(f"""SELECT idx, name, action, CASE action WHEN 'missing' THEN 'source is gone: ' || path WHEN 'failed' THEN 'source changed: ' || path END AS error FROM
+ (SELECT l.idx, r.name, r.path, CASE WHEN r.name IS NULL THEN 'unknown' WHEN h.sha IS NULL THEN 'missing' WHEN r.checksum <> h.sha THEN 'failed' ELSE 'copy' END AS action FROM (SELECT DISTINCT idx FROM {LOST}) l LEFT JOIN {ROWS_LEFT} r USING (idx) LEFT JOIN {HERE} h ON h.path = r.path)""")
+def recovery_actions(spark, sf_dir):
+    return G.recovery_plan(LOST.frame(spark, sf_dir), ROWS_LEFT.frame(spark, sf_dir), HERE.frame(spark, sf_dir))
+
+
+HEADS = Bound("part", p_partkey="p_partkey", kind="p_partkey % 4", step="p_partkey % 16", pace="p_partkey % 17 % 4", version="p_partkey % 7 % 4", layer="p_partkey % 11 % 4", mode="p_partkey % 5 % 4", rate="8000 + p_size * 3500", channels="p_partkey % 6 + 1", bits="CASE WHEN p_partkey % 2 = 0 THEN 16 ELSE 24 END", samples="CASE WHEN p_partkey % 12 = 3 THEN 0 ELSE p_partkey * 20000 END", size="p_partkey * 9000")
+_KBPS_SQL = "MAP {" + ", ".join(f"'{k}': {list(v)}" for k, v in H.KBPS.items()) + "}"
+
+
+@query(f"""SELECT p_partkey, CASE WHEN kind = 0 AND fits THEN 'mp' || (4 - layer) WHEN kind = 1 THEN CASE WHEN channels = 3 THEN 'wav85' ELSE 'pcm' END WHEN kind = 3 THEN 'flac' END AS codec,
+ CASE WHEN kind = 0 AND fits THEN ([44100, 48000, 32000])[pace + 1] // CASE version WHEN 3 THEN 1 WHEN 2 THEN 2 ELSE 4 END WHEN kind IN (1, 3) THEN rate END::INT AS sample_rate,
+ CASE WHEN kind = 0 AND fits THEN CASE WHEN mode = 3 THEN 1 ELSE 2 END WHEN kind IN (1, 3) THEN channels END::INT AS channels, CASE WHEN kind IN (1, 3) THEN bits END::INT AS sample_bits,
+ CASE WHEN kind = 0 AND fits THEN ({_KBPS_SQL})[CASE WHEN version = 3 THEN '1' || (4 - layer) WHEN layer = 3 THEN '21' ELSE '22' END][step + 1] * 1000 WHEN kind = 1 THEN rate * channels * bits WHEN kind = 3 AND samples > 0 THEN size * 8 * rate // samples END::BIGINT AS bitrate
+ FROM (SELECT *, version <> 1 AND layer <> 0 AND step <> 15 AND pace <> 3 AS fits FROM {HEADS})""")
+def header_profiles(spark, sf_dir):
+    rows = HEADS.frame(spark, sf_dir)
+    hexed = lambda c, n: F.format_string(f"%0{n}X", c.cast("bigint"))
+    low = lambda c, n: F.concat(*[F.substring(hexed(c, 2 * n), 2 * (n - k) - 1, 2) for k in range(n)])
+    bit = lambda c, k: c.cast("bigint") * (1 << k)
+    c = F.col
+    frame = hexed(F.lit(0xFFE10000) + bit(c("version"), 19) + bit(c("layer"), 17) + bit(c("step"), 12) + bit(c("pace"), 10) + bit(c("mode"), 6), 8)
+    frame = F.concat(F.when(c("p_partkey") % 8 == 0, F.concat(F.lit("49443304000000000003"), F.lit("AABBCC"))).otherwise(""), frame)
+    form = F.when(c("channels") == 3, 85).otherwise(1)
+    wave = F.concat(F.lit("5249464600000000" + "57415645666D742010000000"), low(form, 2), low(c("channels"), 2), low(c("rate"), 4), low(F.expr("rate * channels * bits div 8"), 4), low(F.expr("channels * bits div 8"), 2), low(c("bits"), 2))
+    packed = bit(c("rate"), 44 - 24) + bit(c("channels") - 1, 41 - 24) + bit(c("bits") - 1, 36 - 24) + F.expr("samples div 16777216")
+    stream = F.concat(F.lit("664C6143" + "00000022" + "00" * 10), hexed(packed, 10), hexed(c("samples") % 16777216, 6))
+    block = F.unhex(F.when(c("kind") == 0, frame).when(c("kind") == 1, wave).when(c("kind") == 3, stream).otherwise(F.lit("4F67675300")))
+    return rows.select("p_partkey", H.stream_info(block, c("size")).alias("i")).select("p_partkey", "i.*")

@@ -1,4 +1,7 @@
-"""A recursive file scan as a Spark data source, one partition for each entry of the root.
+"""A recursive file scan, level by level: the folders of a level are dealt over tasks, each lists its own, and what they find are
+the next level's folders. So no task has more than a share of a level's folders, however the tree is shaped, and none holds
+more than one folder's list; a level is kept as a table, so a lost executor costs its own lists only. The root's own level is
+a data source.
 
 Unlike Spark's own file sources it lists names that begin with an underscore and files without bytes. Hidden entries are
 left out with all below them, unreadable ones silently; a root that is no folder is an error. The root must be visible to
@@ -8,13 +11,18 @@ all executors under the same path.
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from quillon.functions import names as N
+from quillon.operators.shared import cut
 
+FOLDERS = 1000  # that one task lists
 SCHEMA = "path string, name string, extension string, size bigint, depth int, folder boolean"
 
 
@@ -22,38 +30,36 @@ def _hidden(name: str) -> bool:
     return name.startswith((".", "FOUND.")) or name in ("System Volume Information", "$RECYCLE.BIN")
 
 
-class _Entry(InputPartition):
-    def __init__(self, name: str):
-        self.name = name
+def _listed(root: str, folder: str, hidden: bool) -> Iterator[tuple]:
+    """The entries of a folder below root, by name; an unreadable folder has none."""
+    try:
+        found = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
+    except OSError:
+        return
+    for entry in found:
+        if not hidden and _hidden(entry.name):
+            continue
+        try:
+            is_folder, size = entry.is_dir(follow_symlinks=False), entry.stat(follow_symlinks=False).st_size
+        except OSError:
+            continue
+        path = f"{folder}/{entry.name}" if folder else entry.name
+        stem, dot, ext = entry.name.rpartition(".")
+        yield path, entry.name, ext.lower() if dot and stem else None, 0 if is_folder else size, path.count("/"), is_folder
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"]
-        self.most = int(options.get("depth", -1))
         self.all = options.get("hidden", "false") == "true"
 
     def partitions(self):
         if not os.path.isdir(self.root):
             raise ValueError(f"{self.root} is no folder")
-        return [_Entry(n) for n in sorted(os.listdir(self.root)) if self.all or not _hidden(n)] or [_Entry("")]
-
-    def read(self, partition: _Entry):
-        if not partition.name:
-            return
-        todo = [partition.name]
-        while todo:
-            path = todo.pop()
-            whole, depth = os.path.join(self.root, path), path.count("/")
-            try:
-                folder, size = os.path.isdir(whole) and not os.path.islink(whole), os.lstat(whole).st_size
-                below = sorted(os.listdir(whole), reverse=True) if folder and (self.most < 0 or depth < self.most) else []
-            except OSError:
-                continue
-            name = path.rpartition("/")[2]
-            stem, dot, ext = name.rpartition(".")
-            yield (path, name, ext.lower() if dot and stem else None, 0 if folder else size, depth, folder)
-            todo += [f"{path}/{n}" for n in below if self.all or not _hidden(n)]
+        return [InputPartition(0)]
+
+    def read(self, partition: InputPartition):
+        yield from _listed(self.root, "", self.all)
 
 
 class CatalogSource(DataSource):
@@ -71,8 +77,26 @@ class CatalogSource(DataSource):
 def entries(spark: SparkSession, root: str, depth: int | None = None, hidden: bool = False) -> DataFrame:
     """Every file and folder below root, at most `depth` folders down."""
     spark.dataSource.register(CatalogSource)
-    reader = spark.read.format("quillon_scan").option("hidden", str(hidden).lower())
-    return (reader if depth is None else reader.option("depth", depth)).load(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("path", pa.string()), ("name", pa.string()), ("extension", pa.string()), ("size", pa.int64()), ("depth", pa.int32()), ("folder", pa.bool_())])
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                rows = list(_listed(root, folder, hidden))
+                for at in range(0, len(rows), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 10_000]), kinds)], schema=kinds)
+
+    level = cut(spark.read.format("quillon_scan").option("hidden", str(hidden).lower()).load(root))
+    levels, down = [level], 0
+    while depth is None or down < depth:
+        folders = level.where("folder").select("path")
+        n = folders.count()
+        if not n:
+            break
+        parts = min(n, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // FOLDERS)))
+        level, down = cut(folders.repartition(parts, "path").mapInArrow(run, SCHEMA)), down + 1
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def audio_files(spark: SparkSession, root: str, depth: int | None = None) -> DataFrame:
@@ -97,8 +121,6 @@ def volume_files(spark: SparkSession, root: str) -> DataFrame:
     def hashed(batches):
         import hashlib
 
-        import pyarrow as pa
-
         for batch in batches:
             sums = []
             for path in batch.column("path").to_pylist():

@@ -11,6 +11,7 @@ from quillon.operators import reports as R
 from quillon.operators import state as T
 from quillon.operators import sync as Y
 from quillon.operators import verify as V
+from quillon.operators.catalog import numbered
 from quillon.operators.collisions import beside, resolve
 from quillon.sources import scan
 from quillon.sources import state as documents
@@ -181,6 +182,23 @@ def test_scan(spark, tmp_path):
         scan.audio_files(spark, root + "/none").count()
 
 
+def test_scan_of_one_large_folder_equals_the_walk(spark, tmp_path):
+    for i in range(60):
+        at = tmp_path / "all" / f"d{i % 20}" / f"e{i}"
+        at.mkdir(parents=True)
+        for k in range(20):
+            (at / f"{k}.mp3").write_bytes(b"x" * k)
+    (tmp_path / "all" / "loop").symlink_to(tmp_path)
+    (tmp_path / "all" / "closed").mkdir(mode=0)
+    walked = {os.path.relpath(os.path.join(d, n), tmp_path) for d, _, names in os.walk(tmp_path) for n in names if n.endswith(".mp3")}
+    rows = scan.audio_files(spark, str(tmp_path))
+    assert {r.path for r in rows.collect()} == walked and len(walked) == 1200
+    assert [r.idx for r in numbered(rows, R.path_order()).where("path = 'all/d0/e0/0.mp3'").collect()] == [1]
+    assert scan.entries(spark, str(tmp_path), 1).count() == 23
+    level = scan.entries(spark, str(tmp_path)).where("depth = 3")
+    assert level.select(F.input_file_name()).distinct().count() > 1  # listed by several tasks
+
+
 def test_documents(spark, tmp_path):
     at = str(tmp_path / "d.json")
     assert documents.read_or_create_journal(spark, at).count() == 0 and os.path.exists(at)
