@@ -3,17 +3,18 @@
 Rules (host and its subdomains, path prefix; the longest wins) give verdicts and, through them, the accepted and
 rejected URLs that train two smoothed variable-order Markov models. A URL without a rule is judged by the difference of
 log-likelihoods per character against a threshold. Of the labelled URLs, one in CALIBRATE (by hash) trains no model but
-sets the threshold, midway between the medians of the accepted and the rejected; where it lacks a kind, all labelled URLs
-do, and without URLs of both kinds the threshold is 0. Null URLs and those without :// have empty host and path and score
-0. A URL (host and path) is scored once, however many rows have it, and counts in training as often as it stands; keys,
-null or repeated, play no part.
+sets the threshold: the one with the least error on them, the mean of the shares of accepted and rejected URLs it gets wrong.
+Where these lack a kind, all labelled URLs do, and without URLs of both kinds the threshold is 0. Null URLs and those without
+:// have empty host and path and score 0. A URL (host and path) is scored once, however many rows have it, and counts in
+training as often as it stands; keys, null or repeated, play no part. URLs of any length are scored whole, a row for each
+character; an empty table gives no rows; other columns of the table, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, join_counted
@@ -28,6 +29,7 @@ RULES = (
 ORDER = 4  # characters of context at most
 BETA = 2.0  # weight of the shorter context
 CALIBRATE = 5
+STEP = 0.005  # of the thresholds that are compared
 ALPHABET = 70.0
 SMALL_GRAMS = 200_000  # grams that may be broadcast; short strings and two numbers each
 
@@ -98,15 +100,31 @@ def scored(rows: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
     for k in range(ORDER + 1):
         part = model.where(F.length("gram") == k + 1).select(F.col("gram").alias(f"_g{k}"), F.col("ratio").alias(f"_r{k}"))
         hits.append(part)
-    found = reduce(lambda d, k: d.join(hits[k + 1], F.expr(f"right(gram, {k + 1})") == F.col(f"_g{k}"), "left"), range(ORDER + 1), distinct)
+    few = lambda k: F.broadcast(hits[k + 1]) if k <= 1 else hits[k + 1]  # noqa: E731  the alphabet's size, and its square
+    found = reduce(lambda d, k: d.join(few(k), F.expr(f"right(gram, {k + 1})") == F.col(f"_g{k}"), "left"), range(ORDER + 1), distinct)
     best = F.coalesce(*[F.col(f"_r{k}") for k in range(ORDER, -1, -1)], F.lit(0.0))
-    found = cut(found.select("gram", best.alias("ratio")))
+    found = cut(found.select("gram", best.alias("ratio"), "n"))
     if found.count() <= SMALL_GRAMS:
-        return grams.join(F.broadcast(found), "gram").groupBy(*keys).agg(F.avg("ratio").alias("score"))
-    # A gram's rows are dealt over salts by the row itself, so a gram in every URL is no hot key.
-    salted = grams.withColumn("_s", F.pmod(F.xxhash64(*keys), F.lit(16)))
-    copies = found.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
-    return salted.join(copies, ["gram", "_s"]).groupBy(*keys).agg(F.avg("ratio").alias("score"))
+        rows = grams.join(F.broadcast(found), "gram")
+    else:
+        rows = join_counted(grams, found, "gram", "n")  # a gram in every URL is no hot key
+    return rows.groupBy(*keys).agg(F.avg("ratio").alias("score"))
+
+
+def calibrated(labelled: DataFrame):
+    """One row: threshold and error (null without URLs of both kinds). labelled: score, how often accepted (a) and rejected (b).
+
+    Scores fall into bins of STEP, so few rows are compared, whatever the input. Of thresholds that are as good the middle counts.
+    """
+    bins = labelled.groupBy(F.floor(F.col("score") / STEP).alias("_bin")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    bins = bins.unionByName(bins.select((F.min("_bin") - 1).alias("_bin"), F.lit(0).alias("a"), F.lit(0).alias("b")).where("_bin IS NOT NULL"))
+    upto = Window.orderBy("_bin")  # as many rows as bins
+    whole = Window.partitionBy(F.lit(1))
+    wrong = bins.select("_bin", F.sum("a").over(upto).alias("_lost"), F.sum("b").over(upto).alias("_caught"), F.sum("a").over(whole).alias("_a"), F.sum("b").over(whole).alias("_b"), F.lead("_bin").over(upto).alias("_next"))
+    error = (F.col("_lost") / F.nullif("_a", F.lit(0)) + (F.col("_b") - F.col("_caught")) / F.nullif("_b", F.lit(0))) / 2
+    wrong = wrong.select(((F.col("_bin") + 1) * STEP).alias("_t"), (F.coalesce("_next", F.col("_bin") + 1) * STEP).alias("_to"), error.alias("error")).where("error IS NOT NULL")
+    best = wrong.withColumn("_least", F.min("error").over(whole)).where("error = _least")
+    return best.agg(((F.min("_t") + F.max("_to")) / 2).alias("threshold"), F.min("error").alias("error")).first()
 
 
 def judge_urls(pages: DataFrame, rules=RULES, url: str = "url", key: str = "page_id") -> DataFrame:
@@ -120,13 +138,11 @@ def judge_urls(pages: DataFrame, rules=RULES, url: str = "url", key: str = "page
     score = cut(scored(urls.where("url <> ''").select("url"), model, ["url"]))
     urls = cut(urls.join(score, "url", "left").withColumn("score", F.coalesce("score", F.lit(0.0))))
 
-    def middle(of: DataFrame):
-        return of.agg(F.percentile_approx(F.when(F.col("a") > 0, F.col("score")), 0.5, 10_000).alias("a"), F.percentile_approx(F.when(F.col("b") > 0, F.col("score")), 0.5, 10_000).alias("b")).first()
-
-    at = middle(urls.where("held"))
-    if at["a"] is None or at["b"] is None:
-        at = middle(urls)
-    threshold = 0.0 if at["a"] is None or at["b"] is None else (at["a"] + at["b"]) / 2
+    labelled = urls.where("a + b > 0")
+    at = calibrated(labelled.where("held"))
+    if at["threshold"] is None:
+        at = calibrated(labelled)
+    threshold = at["threshold"] or 0.0
     out = join_counted(rows, urls.select("url", "score", "_n"), "url", "_n")
     verdict = F.coalesce("ruled", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
     return out.select(key, "host", "path", "rule", verdict.alias("verdict"), "score")

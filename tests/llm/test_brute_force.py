@@ -80,13 +80,16 @@ def test_mixing_equals_its_sql(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want) and max(n for n in Counter(r[0] for r in want).values()) > 10
 
 
-def test_rows_without_an_id_draw_apart(spark):
+def test_rows_without_an_id_draw_apart(spark, monkeypatch):
     rows = [(None, f"text {i}", "a") for i in range(400)] + [(None, "same", "a")] * 3
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     n = Counter(r.text for r in mixing.mix(docs).collect())
     assert len(set(n.values())) > 2 and 250 < sum(n.values()) < 550 and n["same"] % 3 == 0
     for cells in (0, 10**9):  # salted and broadcast rates give the same rows
-        assert Counter(r.text for r in mixing.mix(docs).collect()) == n
+        monkeypatch.setattr(mixing, "SMALL_CELLS", cells)
+        plan = mixing.mix(docs)
+        assert Counter(r.text for r in plan.collect()) == n
+        assert ("_salt" in plan._jdf.queryExecution().analyzed().toString()) == (cells == 0)
 
 
 # op3
