@@ -4,7 +4,8 @@ Gear-hash cuts make chunks. Joins on chunk digests alone (a small table) name on
 store keeps each distinct chunk once: a medium's entry holds the chunks that it owns, compressed together. Ordered chunk
 lists rebuild every medium from its own chunks and from those that other entries give, and its digest is verified. Null and
 empty texts give 64 zero bytes. Equal texts share one medium; hot chunks and media are given in several copies, dealt over
-salts. Null and repeated keys are rows like others.
+salts. Null and repeated keys are rows like others; a very long text is one payload, cut and rebuilt whole by the task that
+has its row; an empty table gives no rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations

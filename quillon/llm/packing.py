@@ -3,7 +3,9 @@
 Documents are cut into pieces no longer than a sequence, the first being the short one. Pieces are dealt into blocks of
 bounded size by a hash of their own row; in each block best-fit decreasing makes bins and a local search moves one
 piece, swaps one for one or two for one between underfull bins whenever that raises the sum of squared fills, until
-no exchange does or the bound is met. Repeated rows are packed once each; a null or empty text is the end id alone.
+no exchange does or the bound is met. Repeated rows are packed once each; a null or empty text is the end id alone; a very
+long text is tokenized whole in one task; an empty table gives no pieces; other columns, whatever their names, are not
+looked at.
 
 Ids are those of the tokenizers file. Where that file is a plain byte-level BPE whose merges stand in id order, the
 same vocabulary is applied by tiktoken, which takes a quarter of the time; texts that hold an added token, or a run

@@ -31,3 +31,35 @@ def test_spans_point_at_the_assistant_texts(spark):
 def test_cycles_end(spark):
     nodes = spark.createDataFrame([("t", 1, 2, "user", "a", 0.0), ("t", 2, 1, "user", "b", 0.0), ("t", 3, 1, "user", "c", 0.0), ("t", 4, None, "user", "d", 0.0)], "tree string, node long, parent long, role string, text string, score double")
     assert [r.leaf for r in chat.conversations_of_trees(nodes).collect()] == [4]
+
+
+def test_deep_trees_and_ranked_branches(spark):
+    """A trunk of 2,000 turns with a branch at every 400th, and one conversation of 5,000 turns, against walks from the leaves."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quillon.llm import chat
+
+    rng = random.Random(1)
+    parent = {i: i - 1 for i in range(1, 2000)} | {10_000 + i: i for i in range(0, 2000, 400)} | {20_000 + i: 10_000 + i for i in range(0, 2000, 400)}
+    score = {n: rng.random() for n in [0, *parent]}
+    nodes = [("deep", n, parent.get(n), "assistant" if n % 2 else "user", f"t{n}", score[n]) for n in score]
+    nodes += [("long", i, i - 1 if i else None, "user", "x", 0.0) for i in range(5000)]
+    frame = spark.createDataFrame(nodes, "tree string, node long, parent long, role string, text string, score double")
+    got = {(r.tree, r.leaf): r for r in chat.conversations_of_trees(frame).collect()}
+    leaves = [n for n in score if n not in set(parent.values())]
+    want = {}
+    for leaf in leaves:
+        path, at = [], leaf
+        while at is not None:
+            path.append(at)
+            at = parent.get(at)
+        want[leaf] = path[::-1]
+    ranks = {leaf: k for k, leaf in enumerate(sorted(leaves, key=lambda n: (-sum(score[m] for m in want[n]), n)), 1)}
+    assert {k[1] for k in got if k[0] == "deep"} == set(leaves) and len(chat.parse_turns(got["long", 4999].formatted)) == 5000
+    for leaf in leaves:
+        row = got["deep", leaf]
+        assert [t for _, t in chat.parse_turns(row.formatted)] == [f"t{n}" for n in want[leaf]] and row.branch == ranks[leaf]
+    best = chat.conversations_of_trees(frame, best=2).where(F.col("tree") == "deep").collect()
+    assert sorted(r.leaf for r in best) == sorted(n for n in leaves if ranks[n] <= 2)
