@@ -195,7 +195,7 @@ def _short_lists(docs: DataFrame, sketch, n: int, percent: int) -> DataFrame:
 
 
 def _packs(docs: DataFrame, wanted: DataFrame, sketch, n: int) -> DataFrame:
-    """(set, pack): the shingles of each wanted set (set, sig, mark) in the order of lists. Texts that are not wanted stay in their scan."""
+    """(sig, pack): the shingles of each wanted set (set, sig, mark) in the order of lists. Texts that are not wanted stay in their scan."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
@@ -213,8 +213,7 @@ def _packs(docs: DataFrame, wanted: DataFrame, sketch, n: int) -> DataFrame:
 
     marks = wanted.groupBy("mark").agg(F.count(F.lit(1)).alias("_n"))
     found = join_counted(docs.select("mark", "text"), marks, "mark", "_n", "left_semi").mapInArrow(run, "sig binary, pack binary")
-    found = found.groupBy("sig").agg(F.first("pack").alias("pack"))
-    return found.join(wanted.select("set", "sig"), "sig").select("set", "pack")
+    return found.groupBy("sig").agg(F.first("pack").alias("pack"))
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -226,8 +225,9 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.where(F.col("sx") + F.col("sy") - differ >= 2 * least).select("x", "y")
 
 
-def _verify(pairs: DataFrame, packs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) that link. A group is one x and about MEMBERS partners at most, however many x has."""
+def _verify(pairs: DataFrame, sigs: DataFrame, packs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) that link. A group is one x and about MEMBERS partners at most, however many x has. The small rows that ask for
+    a set go to where its pack is (sigs: set, sig; packs: sig, pack), so packs travel once to be told apart and once to be compared."""
     counts = cut(pairs.groupBy("x").agg(F.count(F.lit(1)).alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / MEMBERS)))
     dealt = join_counted(pairs, counts, "x", "_n").withColumn("part", F.pmod(F.xxhash64("y"), F.col("_parts")))
     asked = cut(dealt.select("x", "part", F.col("y").alias("set")).unionByName(dealt.select("x", "part", F.col("x").alias("set")).distinct()))
@@ -242,7 +242,7 @@ def _verify(pairs: DataFrame, packs: DataFrame, percent: int) -> DataFrame:
                 hit.append(y)
         return pd.DataFrame({"x": [x] * len(hit), "y": hit}, dtype="int64")
 
-    return asked.join(packs, "set").groupBy("x", "part").applyInPandas(check, "x long, y long")
+    return asked.join(sigs, "set").join(packs, "sig").select("x", "part", "set", "pack").groupBy("x", "part").applyInPandas(check, "x long, y long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -298,6 +298,8 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     rows = cut(_short_lists(docs, sketch, n, percent))
     sets = rows.where("sig IS NOT NULL").groupBy("sig").agg(F.count(F.lit(1)).alias("_n"), F.min("key").alias("least"), F.first(F.struct("mark", "size", "bits", "tokens")).alias("_s"))
     sets = cut(sets.select("sig", "_n", "least", "_s.*", F.monotonically_increasing_id().alias("set")))
+    rows, whole = cut(rows.select("key", "sig", "size")), rows
+    drop(whole)
     lists = sets.select("set", "size", F.posexplode("tokens").alias("at", "token"))
     leads = lists.groupBy("token").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(F.col("at") / F.col("size"), "set", "size", "at")).alias("_l")).where("_n > 1")
     leads = cut(leads.select("token", "_n", F.col("_n").alias("n"), F.col("_l.set").alias("lead"), F.col("_l.size").alias("lsize"), F.col("_l.at").alias("lat")))
@@ -310,7 +312,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
         pairs = cut(_plausible(pairs, wanted, percent))
         asked = pairs.select(F.col("x").alias("set")).unionByName(pairs.select(F.col("y").alias("set"))).distinct()
         fetched = cut(wanted.select("set", "sig", "mark").join(asked, "set", "left_semi"))
-        out = cut(_verify(pairs, _packs(docs, fetched, sketch, n), percent))
+        out = cut(_verify(pairs, fetched.select("set", "sig"), _packs(docs, fetched, sketch, n), percent))
         drop(wanted, pairs, fetched)
         return out
 
@@ -334,6 +336,6 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     named = join_counted(linked, names, "comp", "_n").select("set", "name", F.lit(1).alias("_n"))
     shown = join_counted(sets.select("set", "sig", "_n", "least"), named.withColumnRenamed("_n", "_m"), "set", "_m", "left")
     shown = cut(shown.where("_n > 1 OR name IS NOT NULL").select("sig", "_n", F.coalesce("name", "least").alias("name")))
-    out = join_counted(rows.where("sig IS NOT NULL").drop("tokens", "mark", "bits"), shown, "sig", "_n", "left")
-    alone = rows.where("sig IS NULL").drop("tokens", "mark", "bits").withColumn("name", F.col("key"))
+    out = join_counted(rows.where("sig IS NOT NULL"), shown, "sig", "_n", "left")
+    alone = rows.where("sig IS NULL").withColumn("name", F.col("key"))
     return out.unionByName(alone).select(F.col("key").alias(key), F.col("size").cast("long").alias("n_shingles"), F.coalesce("name", "key").alias("component_id"))
