@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import names as N
 from quillon.functions.paths import resolved
+from quillon.functions.sanitize import as_mp3
+from quillon.operators.verify import expected_path
 
 
 def canonical(path: Column) -> Column:
@@ -58,14 +61,26 @@ def retained(untracked: DataFrame, there: DataFrame) -> DataFrame:
 
 
 def recovery_plan(candidates: DataFrame, checkpoint: DataFrame, sources: DataFrame) -> DataFrame:
-    """idx, name, action, error: what is done for each index (idx) that must be recovered.
+    """idx, path, name, target, old, action: what is done for each index (idx) that must be recovered.
 
-    A row of the checkpoint (idx, name, path, checksum) whose source (path, sha) is there with its hash is copied again; with
-    another hash it is marked failed, as the source changed; without a source it is marked missing. Indices that the checkpoint
-    does not know are unknown. In the order of idx.
+    A row of the checkpoint (idx, name, path) whose source (sources: path) is there is copied anew, as .mp3 whatever it was
+    called; `old` is where it lay under its former name. Without a source it is `missing`; an index that the checkpoint does not
+    know is `unknown`.
     """
-    rows = candidates.select("idx").distinct().join(checkpoint.select("idx", "name", "path", F.col("checksum").alias("_want")), "idx", "left")
-    rows = rows.join(sources.select("path", "sha"), "path", "left")
-    action = F.when(F.col("name").isNull(), "unknown").when(F.col("sha").isNull(), "missing").when(F.col("_want").isNotNull() & (F.col("sha") != F.col("_want")), "failed").otherwise("copy")
-    error = F.when(action == "missing", F.concat(F.lit("source is gone: "), "path")).when(action == "failed", F.concat(F.lit("source changed: "), "path"))
-    return rows.select("idx", "name", action.alias("action"), error.alias("error"))
+    rows = candidates.select("idx").distinct().join(checkpoint.select("idx", F.col("name").alias("_name"), "path"), "idx", "left")
+    there = sources.select("path", F.lit(True).alias("_there")).distinct()
+    rows = rows.join(there, "path", "left").withColumn("name", F.when(F.lower("_name").endswith(".mp3"), F.col("_name")).otherwise(as_mp3(F.col("_name"))))
+    action = F.when(F.col("_name").isNull(), "unknown").when(F.col("_there").isNull(), "missing").otherwise("copy")
+    old = F.when(F.col("name") != F.col("_name"), expected_path(F.col("idx"), F.col("_name")))
+    return rows.select("idx", "path", "name", expected_path(F.col("idx"), F.col("name")).alias("target"), old.alias("old"), action.alias("action"))
+
+
+def device_layout(root: str, key: Column) -> Column:
+    """Where a device's state lies below root: backup, checkpoint_dir, checkpoint, manifest, journal. The same key gives the same places."""
+    slug = N.slug_with_hash(key)
+    at = lambda *parts: F.concat(F.lit(f"{root}/"), *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    places = {
+        "backup": at("backups/usb_backup_", slug), "checkpoint_dir": at("checkpoints/", slug), "checkpoint": at("checkpoints/", slug, "/.provisioning_checkpoint"),
+        "manifest": at("manifests/manifest_", slug, ".json"), "journal": at("journals/journal_", slug, ".json"),
+    }
+    return F.struct(*[v.alias(k) for k, v in places.items()])

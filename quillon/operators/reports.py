@@ -23,6 +23,30 @@ ERROR_CODES = {
     "InvalidConfig": "INVALID_CONFIG",
 }
 
+# What the user is told to do about each code.
+REMEDIES = {
+    "UNSUPPORTED_JSON_MODE": "Use --json solo con --usb/--source o con --resume.",
+    "MISSING_USB_MOUNT": "Agregue --usb <PATH> cuando utilice --resume.",
+    "CONCURRENCY_ERROR": "Cierre la otra instancia activa o espere a que termine.",
+    "FILESYSTEM_READ_ONLY": "Repare la USB con 'sudo fsck.fat -a <dispositivo>' y reintente.",
+    "ENOSPC_ERROR": "Libere espacio en el disco local del host.",
+    "HARDWARE_FRAUD_DETECTED": "Deseche esta memoria USB (NAND Spoofing detectado).",
+    "DRM_PROTECTED": "Elimine los archivos con DRM de la carpeta de origen.",
+    "PROVISIONING_FAILED": "Revise el mensaje de error y reintente con --resume.",
+    "INVALID_CONFIG": "Corrija los paths de entrada: el origen y el destino no pueden ser iguales ni estar anidados.",
+}
+
+
+def remedy(kind: Column) -> Column:
+    """What is to be done about an error."""
+    table = F.create_map(*[F.lit(x) for pair in REMEDIES.items() for x in pair])
+    return F.element_at(table, error_code(kind))
+
+
+def first_known(chain: Column) -> Column:
+    """The first kind in a chain of causes that has a code of its own, or null."""
+    return F.get(F.filter(chain, lambda k: k.isin(*ERROR_CODES)), F.lit(0))
+
 
 def error_code(kind: Column) -> Column:
     """The code of an error; any other error is a failed provisioning."""

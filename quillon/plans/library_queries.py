@@ -590,16 +590,36 @@ def planned_volume_count(spark, sf_dir):
 
 
 LOST = Bound("orders", "o_orderkey % 5 IN (1, 2) OR o_orderkey % 9 = 0", idx="CASE WHEN o_orderkey % 27 = 0 THEN -o_orderkey ELSE o_orderkey END")
-ROWS_LEFT = Bound("orders", idx="o_orderkey", name=_CK_NAME, path="'in/' || o_orderkey", checksum=f"CASE WHEN o_orderkey % 10 = 1 THEN SHA('wrong') WHEN o_orderkey % 10 <> 2 THEN {_OWN} END")
-HERE = Bound("orders", "o_orderkey % 6 <> 1", path="'in/' || o_orderkey", sha=_OWN)
+ROWS_LEFT = Bound("orders", idx="o_orderkey", name="printf('%04d', o_orderkey) || CASE o_orderkey % 4 WHEN 0 THEN '_f.flac' WHEN 1 THEN '_f.MP3' WHEN 2 THEN '_f' ELSE '_f.mp3' END", path="'in/' || o_orderkey")
+HERE = Bound("orders", "o_orderkey % 6 <> 1", path="'in/' || o_orderkey")
 
 
-@query(f"""SELECT idx, name, action, CASE action WHEN 'missing' THEN 'source is gone: ' || path WHEN 'failed' THEN 'source changed: ' || path END AS error FROM
- (SELECT l.idx, r.name, r.path, CASE WHEN r.name IS NULL THEN 'unknown' WHEN h.sha IS NULL THEN 'missing' WHEN r.checksum <> h.sha THEN 'failed' ELSE 'copy' END AS action FROM (SELECT DISTINCT idx FROM {LOST}) l LEFT JOIN {ROWS_LEFT} r USING (idx) LEFT JOIN {HERE} h ON h.path = r.path)""")
+@query(f"""SELECT idx, path, name, 'VOL_' || printf('%02d', idx // 50 + 1) || '/' || name AS target, CASE WHEN name <> was THEN 'VOL_' || printf('%02d', idx // 50 + 1) || '/' || was END AS old, action FROM
+ (SELECT l.idx, r.path, r.name AS was, CASE WHEN lower(r.name) LIKE '%.mp3' THEN r.name ELSE regexp_replace(r.name, '^(.+)\\.[^.]*$', '\\1') || '.mp3' END AS name, CASE WHEN r.name IS NULL THEN 'unknown' WHEN h.path IS NULL THEN 'missing' ELSE 'copy' END AS action
+ FROM (SELECT DISTINCT idx FROM {LOST}) l LEFT JOIN {ROWS_LEFT} r USING (idx) LEFT JOIN {HERE} h ON h.path = r.path)""")
 def recovery_actions(spark, sf_dir):
     return G.recovery_plan(LOST.frame(spark, sf_dir), ROWS_LEFT.frame(spark, sf_dir), HERE.frame(spark, sf_dir))
 
 
+CAUSES = Bound("customer", c_custkey="c_custkey", outer_kind=f"CASE c_custkey % 3 WHEN 0 THEN 'io' ELSE {"CASE c_custkey % 9 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(R.ERROR_CODES)) + " END"} END", inner_kind="CASE c_custkey % 5 WHEN 0 THEN 'DrmProtected' WHEN 1 THEN 'StorageFull' ELSE 'os' END")
+_CODES_SQL = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in R.ERROR_CODES.items()) + "}"
+_REMEDIES_SQL = "MAP {" + ", ".join(f"'{k}': '{v.replace(chr(39), chr(39) * 2)}'" for k, v in R.REMEDIES.items()) + "}"
+
+
+@query(f"SELECT c_custkey, coalesce(({_CODES_SQL})[outer_kind], ({_CODES_SQL})[inner_kind], 'PROVISIONING_FAILED') AS code, ({_REMEDIES_SQL})[coalesce(({_CODES_SQL})[outer_kind], ({_CODES_SQL})[inner_kind], 'PROVISIONING_FAILED')] AS remedy FROM {CAUSES}")
+def error_remedies(spark, sf_dir):
+    kind = R.first_known(F.array("outer_kind", "inner_kind"))
+    return CAUSES.frame(spark, sf_dir).select("c_custkey", R.error_code(kind).alias("code"), R.remedy(kind).alias("remedy"))
+
+
+_SLUG_SQL = "CASE WHEN s = '' THEN 'device' ELSE s END || '_' || substr(sha256(s_name), 1, 8)"
+
+
+@query(f"SELECT s_suppkey, '/state/backups/usb_backup_' || g AS backup, '/state/checkpoints/' || g AS checkpoint_dir, '/state/checkpoints/' || g || '/.provisioning_checkpoint' AS checkpoint, '/state/manifests/manifest_' || g || '.json' AS manifest, '/state/journals/journal_' || g || '.json' AS journal FROM (SELECT *, {_SLUG_SQL} AS g FROM (SELECT s_suppkey, s_name, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', '_', 'g'), '_') AS s FROM supplier))")
+def device_places(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", G.device_layout("/state", F.col("s_name")).alias("_l")).select("s_suppkey", "_l.*")
+
+
 HEADS = Bound("part", p_partkey="p_partkey", kind="p_partkey % 4", step="p_partkey % 16", pace="p_partkey % 17 % 4", version="p_partkey % 7 % 4", layer="p_partkey % 11 % 4", mode="p_partkey % 5 % 4", rate="8000 + p_size * 3500", channels="p_partkey % 6 + 1", bits="CASE WHEN p_partkey % 2 = 0 THEN 16 ELSE 24 END", samples="CASE WHEN p_partkey % 12 = 3 THEN 0 ELSE p_partkey * 20000 END", size="p_partkey * 9000")
 _KBPS_SQL = "MAP {" + ", ".join(f"'{k}': {list(v)}" for k, v in H.KBPS.items()) + "}"
 

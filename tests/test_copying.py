@@ -92,3 +92,20 @@ def test_ingestion(spark, tmp_path):
     assert json.loads(got[3].progress)["payload"]["percentage"] == 100.0
     with pytest.raises(ValueError, match="no audio files"):
         ingest.ingest(spark, scan.audio_files(spark, root).where("false"), root, str(tmp_path / "other"))
+
+
+def test_recovery(spark, tmp_path):
+    from quillon.sources import recovery
+
+    fill(tmp_path, **{"in__1": "one", "in__2": "two", "in__3": "three", "usb__VOL_01__0001_a.flac": "", "usb__VOL_01__0002_b.mp3": "broken"})
+    at = lambda p: str(tmp_path / p)
+    rows = [(1, "0001_a.flac", at("in/1")), (2, "0002_b.mp3", at("in/2")), (3, "0003_c.mp3", at("in/3")), (60, "0060_d.mp3", at("in/4"))]
+    checkpoint = spark.createDataFrame(rows, "idx long, name string, path string")
+    lost = spark.createDataFrame([(1,), (2,), (3,), (60,), (9,), (2,)], "idx long")
+    sources = checkpoint.where("idx <> 60").select("path")
+    for _ in range(2):  # doing it again changes nothing
+        done, state = recovery.recovered(checkpoint, lost, at("usb"), sources, lost.where("idx = 3"))
+        assert {r.idx: (r.action, r.error and r.error.split(":")[0]) for r in done.collect()} == {1: ("copy", None), 2: ("copy", None), 3: ("copy", "needs transcoding"), 60: ("missing", "source is gone"), 9: ("unknown", "is not in the checkpoint")}
+        got = {r.idx: (r.name, r.status, r.checksum) for r in state.collect()}
+        assert got == {1: ("0001_a.mp3", "completed", hashlib.sha256(b"one").hexdigest()), 2: ("0002_b.mp3", "completed", hashlib.sha256(b"two").hexdigest()), 3: ("0003_c.mp3", "failed", None), 60: ("0060_d.mp3", "failed", None)}
+        assert everything(tmp_path / "usb") == {"VOL_01/0001_a.mp3": "one", "VOL_01/0002_b.mp3": "two"}
