@@ -63,11 +63,11 @@ def test_made_names(spark):
 
 def test_device_functions(spark):
     rows = spark.createDataFrame(
-        [("CABINA_A", "SanDisk", "Ultra Fit", "4C530001230101117391", "ABCD-1234", "/dev/sdb1", 9), (None, " ", None, None, None, "/dev/sdb1", 9)],
+        [("FARO", "Vendor", "Model 7", "S-0042", "11EE-0A0B", "/dev/sdb1", 9), (None, " ", None, None, None, "/dev/sdb1", 9)],
         "label string, vendor string, model string, serial string, uuid string, device string, total long",
     )
     key = D.identity_key(*[F.col(c) for c in rows.columns])
-    assert [r[0] for r in rows.select(key).collect()] == ["CABINA_A__SanDisk__Ultra Fit__4C530001230101117391__ABCD-1234", "/dev/sdb1__9"]
+    assert [r[0] for r in rows.select(key).collect()] == ["FARO__Vendor__Model 7__S-0042__11EE-0A0B", "/dev/sdb1__9"]
     sizes = spark.createDataFrame([(512,), (4096,), (1000,), (0,)], "s long")
     assert [r[0] for r in sizes.select(D.sectors_per_cluster(F.col("s"))).collect()] == [64, 8, None, None]
     block = bytearray(512)
@@ -93,15 +93,15 @@ def test_probe_results(spark):
 def test_sync_cases(spark):
     sha = lambda c: c * 64
     target = spark.createDataFrame(
-        [("VOL_01/183_a_aaaaaaaa.mp3", "VOL_01", "183_a_aaaaaaaa.mp3", "-"), ("VOL_01/001_known.mp3", "VOL_01", "001_known.mp3", "-"), ("VOL_01/002_orphan.mp3", "VOL_01", "002_orphan.mp3", "-"), ("m/b", "m", "b", sha("b"))],
+        [("VOL_01/183_a_aaaaaaaa.mp3", "VOL_01", "183_a_aaaaaaaa.mp3", "-"), ("VOL_01/076_cerca.mp3", "VOL_01", "076_cerca.mp3", "-"), ("VOL_01/077_lejos.mp3", "VOL_01", "077_lejos.mp3", "-"), ("m/b", "m", "b", sha("b"))],
         "path string, folder string, name string, sha string",
     )
     source = spark.createDataFrame([("a", sha("a")), ("b", sha("b")), ("n", sha("c"))], "path string, sha string")
-    known = spark.createDataFrame([("001_known.mp3",), ("183_a_aaaaaaaa.mp3",)], "name string")
+    known = spark.createDataFrame([("076_cerca.mp3",), ("183_a_aaaaaaaa.mp3",)], "name string")
     got = Y.summary(source, target, known).first().asDict()
     assert got == {"skipped": 1, "to_process": 2, "displaced": 1, "max_index": 183, "volumes": 1, "untracked": 1, "next_index": 184}
     none = spark.createDataFrame([], "path string")
-    assert {r.path for r in Y.untracked(target, none, known).collect()} == {"VOL_01/002_orphan.mp3", "m/b"}
+    assert {r.path for r in Y.untracked(target, none, known).collect()} == {"VOL_01/077_lejos.mp3", "m/b"}
     assert {r.path for r in Y.untracked(target, none, known.where("false")).collect()} == {"m/b"}
     counts = spark.createDataFrame([(1, 7), (3, 48)], "volume long, files long")
     files = spark.range(105).withColumnRenamed("id", "path")
